@@ -143,10 +143,10 @@ def shingle_sets(chunk: Chunk, width: int) -> list[np.ndarray]:
             np.not_equal(s[1:], s[:-1], out=keep[1:])
             sets.append(s[keep])
         elif b > a:
-            short = U64(0)
+            short = np.full(1, b - a, U64)
             for h in words[a:b]:
                 short = short * _BASE + h
-            sets.append(mix(np.array([short + U64(b - a)], U64)))
+            sets.append(mix(short))
         else:
             sets.append(np.zeros(0, U64))
     return sets
