@@ -68,11 +68,11 @@ def pass_filter(df: DataFrame, bitmap: DataFrame, key: Column, how: str = "keep"
     return marked if how == "mark" else marked.filter("_maybe").drop("_maybe")
 
 
-def label_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int, left_out: int, most: int):
+def label_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int, left_out: int, most: int, **more: Column):
     """Texts and labels of at most ``most`` labelled documents outside the held-out fold, as a pandas frame.
 
     The bound is the documented parameter of the trained operators; ids are drawn by hash, so the draw does not
-    depend on order. Conflicting labels of one document count as their maximum; null labels are skipped.
+    depend on order. Conflicting labels of one document count as their maximum; null labels are skipped. ``more``: further columns of ``docs`` by name.
     """
     ids = (
         labels.select(labels["doc_id"].alias("_id"), labels[label].cast("int").alias("label"))
@@ -81,7 +81,7 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int, l
         .groupBy("_id").agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("_id"), "_id").limit(most)
     )
-    texts = docs.select(docs["doc_id"].alias("_doc"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    texts = docs.select(docs["doc_id"].alias("_doc"), F.coalesce(docs["text"], F.lit("")).alias("text"), *(c.alias(k) for k, c in more.items()))
     # at most ``most`` ids and labels are broadcast
-    joined = texts.join(F.broadcast(ids), F.col("_doc") == F.col("_id")).select("_id", "text", "label")
+    joined = texts.join(F.broadcast(ids), F.col("_doc") == F.col("_id")).select("_id", "text", "label", *more)
     return joined.toPandas().drop_duplicates("_id").sort_values("_id", ignore_index=True)

@@ -34,6 +34,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=U64) * _STEP)
 _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
+#: Also merges upper and lower case of Latin-1 letters (and some other letters with each other): for features only.
+_BYTE_FOLD = _BYTE_LOWER.copy()
+_BYTE_FOLD[0x80:0x9F] = _BYTE[0xA0:0xBF]
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 
@@ -53,9 +56,9 @@ class Chunk:
     def __init__(self, buf: np.ndarray, off: np.ndarray, lo: int):
         self.buf, self.off, self.lo, self.n = buf, off, lo, len(off) - 1
 
-    def words(self) -> None:
-        """Sets start, end: the words' bytes; first: the first word of each document and the end."""
-        here = IS_WORD[self.buf]
+    def words(self, inside: np.ndarray = IS_WORD) -> None:
+        """Sets start, end: the words' bytes; first: the first word of each document and the end; count."""
+        here = inside[self.buf]
         n = len(self.buf)
         heads = np.zeros(n + 1, bool)
         heads[self.off] = True
@@ -80,10 +83,10 @@ class Chunk:
         a, b = np.lexsort((start, doc)), np.lexsort((end, end_doc))
         return start[a], end[b], doc[a]
 
-    def prefix(self, lower: bool) -> None:
+    def prefix(self, lower: bool, fold: bool = False) -> None:
         power, _ = _power(len(self.buf))
         self._sums = np.zeros(len(self.buf) + 1, U64)
-        np.cumsum((_BYTE_LOWER if lower else _BYTE)[self.buf] * power[: len(self.buf)], out=self._sums[1:])
+        np.cumsum((_BYTE_FOLD if fold else _BYTE_LOWER if lower else _BYTE)[self.buf] * power[: len(self.buf)], out=self._sums[1:])
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hashes of byte spans, equal for equal bytes (equal but for A-Z case after prefix(lower=True))."""
