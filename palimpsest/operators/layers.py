@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .versions import pick
+
 #: Files in level 0 that start a compaction, and the growth of that number from level to level.
 L0_FILES, GROWTH = 4, 10
 
@@ -18,9 +20,7 @@ def merged(layers: DataFrame, keys: Sequence[str], priority: Column | str, tombs
     so give one that is unique for a key.
     """
     order = F.col(priority) if isinstance(priority, str) else priority
-    rest = [c for c in layers.columns if c not in keys]
-    found = layers.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_top"))
-    out = found.select(*(F.col(c) if c in keys else F.col(f"_top.`{c}`").alias(c) for c in layers.columns))
+    out = pick(layers, keys, order, last=False)
     return out if tombstones else out.filter(~F.col("tombstone"))
 
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .versions import pick
+
 
 def latest_infos(infos: DataFrame, arrival: Column | str = "arrival") -> DataFrame:
     """Of each key the info with the highest stamp; of equal stamps the first to arrive stays."""
     first = F.col(arrival) if isinstance(arrival, str) else arrival
-    rest = [c for c in infos.columns if c != "key"]
-    top = infos.groupBy("key").agg(F.max_by(F.struct(*rest), F.struct("stamp", -first)).alias("_top"))
-    return top.select(*(F.col("key") if c == "key" else F.col(f"_top.`{c}`").alias(c) for c in infos.columns))
+    return pick(infos, ["key"], F.struct("stamp", -first))
 
 
 def unexpired(infos: DataFrame, now: int) -> DataFrame:

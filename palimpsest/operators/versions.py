@@ -24,11 +24,20 @@ def at_most(ts: Stamp) -> Column:
     return (F.col("wall") < wall) | ((F.col("wall") == wall) & (F.col("logical") <= logical))
 
 
+def pick(df: DataFrame, keys: Sequence[str], order: Column, last: bool = True) -> DataFrame:
+    """Of each key the row that is last (or first) by ``order``, with the columns of ``df``.
+
+    Every column is an aggregate of its own, so columns that nobody reads are not read from the files. Give an order
+    that is unique within a key.
+    """
+    best = F.max_by if last else F.min_by
+    found = df.groupBy(*keys).agg(*(best(F.col(f"`{c}`"), order).alias(c) for c in df.columns if c not in keys))
+    return found.select(*(found[f"`{c}`"] for c in df.columns))
+
+
 def newest(log: DataFrame, keys: Sequence[str], order: Column | None = None) -> DataFrame:
     """The last row of each key by ``order`` (the timestamp unless given), with the columns of ``log``."""
-    rest = [c for c in log.columns if c not in keys]
-    found = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), stamp() if order is None else order).alias("_last"))
-    return found.select(*(F.col(c) if c in keys else F.col(f"_last.`{c}`").alias(c) for c in log.columns))
+    return pick(log, keys, stamp() if order is None else order)
 
 
 def committed(log: DataFrame, own: object | None = None) -> DataFrame:
