@@ -18,6 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import arrow_map
+
 #: The pre-tokenizing pattern of byte-level tokenizer files with use_regex.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes that such files write as themselves; the others are written as code points from 256 on.
@@ -25,7 +27,7 @@ PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Symbols from which a word is encoded by the heap.
 LONG = 256
 #: Words kept encoded in a worker; the cache starts anew beyond.
-CACHE = 400_000
+CACHE = 200_000
 _NONE = np.int64(1) << np.int64(40)
 
 
@@ -209,13 +211,13 @@ class Encoder:
             for w, a, b, raw in zip(found, cut_at, cut_at[1:], v.decode_many(flat, sizes), strict=False):
                 self.cache[w] = (",".join(written[a:b]), raw)
         else:
-            flat = flat.astype(np.int32)
+            raw = flat.astype(np.int32).tobytes()
             for w, a, b in zip(found, cut_at, cut_at[1:], strict=False):
-                self.cache[w] = flat[a:b].copy()
+                self.cache[w] = raw[4 * a : 4 * b]
         return cut
 
     def ids(self, words: list[str]) -> np.ndarray:
-        return np.concatenate([self.cache[w] for w in words]) if words else np.zeros(0, np.int32)
+        return np.frombuffer(b"".join([self.cache[w] for w in words]), np.int32)
 
 
 #: Characters of text that are cut into words at once.
@@ -257,7 +259,7 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), lists], names=[*keep, "n_tokens", "ids"])
                 lo += len(group)
 
-    return part.mapInArrow(run, out)
+    return arrow_map(part, run, out)
 
 
 def decode(tokens: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -275,7 +277,7 @@ def decode(tokens: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) ->
             raw = v.decode_many(np.concatenate([*ids, np.zeros(0, np.int64)]), np.array([len(i) for i in ids], np.int64))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array([r.decode("utf-8", "replace") for r in raw], pa.string())], names=[*keep, "text"])
 
-    return part.mapInArrow(run, out)
+    return arrow_map(part, run, out)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -301,4 +303,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(group)), pa.array(a, pa.int64()), pa.array(b), pa.array(c), pa.array(d, pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_words"])
                 lo += len(group)
 
-    return part.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_words long")
+    return arrow_map(part, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_words long")

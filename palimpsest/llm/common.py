@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,9 +36,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_of(docs: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that extra columns of any name cannot clash."""
-    return docs.select(*(docs[c] for c in columns))
+#: Bytes of one Arrow batch: what a worker holds is bounded by this and by the longest text, not by a number of rows.
+BATCH_BYTES = 4 << 20
+
+
+def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow() with batches of at most BATCH_BYTES (set for the session, unless it has a lower bound)."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", conf.get(name)) or 0) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
 
 
 def remainder(key: Column, divisor: int) -> Column:

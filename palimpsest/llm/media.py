@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import arrow_map
+
 #: Payloads are padded with 255 to a positive multiple of this: 576 grey samples, or 192 pixels of three, in a row.
 UNIT = 576
 TILE = 16
@@ -146,4 +148,4 @@ def text_media(docs: DataFrame, kind: str = "pgm", keep_media: bool = True) -> D
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, 512).cast(pa.int64()), *columns], schema=schema)
 
     kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, ", ".join(f"{n} {kinds[t]}" for n, t in fields))
+    return arrow_map(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), run, ", ".join(f"{n} {kinds[t]}" for n, t in fields))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import key_filter, pass_filter, stored
+from .common import arrow_map, key_filter, pass_filter, stored
 from .graphs import components
 
 BINS, ROWS = 128, 4
@@ -86,7 +86,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
                 marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.n), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(keys.ravel()))], names=["doc_id", "n_shingles", "mark", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, mark binary, keys array<long>")
+    return arrow_map(docs, run, "doc_id long, n_shingles long, mark binary, keys array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -99,7 +99,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 marks = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.n), pa.array(marks, pa.binary()), pa.array(sets, pa.binary())], names=["_id", "_mark", "_set"])
 
-    return docs.mapInArrow(run, "_id long, _mark binary, _set binary")
+    return arrow_map(docs, run, "_id long, _mark binary, _set binary")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 union.append(len(a) + len(b) - n)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["centre", "rep", "common", "all"])
 
-    return both.select("centre", "rep", "_left", "_right").mapInArrow(run, "centre long, rep long, common long, all long")
+    return arrow_map(both.select("centre", "rep", "_left", "_right"), run, "centre long, rep long, common long, all long")
 
 
 def _linked(common, union, percent: int):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import FILTER_BITS, stored
+from .common import FILTER_BITS, arrow_map, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring; the least confidence and number of distinct seeds of a pattern that discovers.
@@ -105,7 +105,7 @@ def _bases(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 5 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "key", *(f"n_{k}" for k in KINDS), "base_sha256", "base"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string")
+    return arrow_map(docs, run, "doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string")
 
 
 def _bigrams(c: textnp.Chunk) -> np.ndarray:
@@ -147,7 +147,7 @@ def _mentions(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "key", "kind", "at", "to", "instance", "before", "after"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, kind int, at long, to long, instance long, before long, after long")
+    return arrow_map(docs, run, "doc_id long, key long, kind int, at long, to long, instance long, before long, after long")
 
 
 def _uses(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def _uses(docs: DataFrame, patterns: DataFrame) -> DataFrame:
             value, n = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n.astype(np.int64))], names=["pair", "n"])
 
-    counted = docs.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    counted = arrow_map(docs, run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     # a pair as context before is its hash, as context after its hash with the last bit turned
     both = counted.select(F.col("pair").alias("_p"), "n").unionAll(counted.select(F.col("pair").bitwiseXOR(F.lit(1)).alias("_p"), "n"))
     return patterns.join(both, F.col("pattern") == F.col("_p")).select("pattern", F.col("n").alias("uses"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import label_sample, remainder
+from .common import arrow_map, label_sample, remainder
 from .quality_rules import text_counts
 
 BITS, RANK, CELLS = 16, 8, 8
@@ -178,7 +178,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 lo = hi
 
     part = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], _length(docs).alias("n_chars"))
-    return part.mapInArrow(run, "doc_id long, score double, predicted int")
+    return arrow_map(part, run, "doc_id long, score double, predicted int")
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

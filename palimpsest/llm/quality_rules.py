@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import stored
+from .common import arrow_map, stored
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -79,7 +79,7 @@ def measured(docs: DataFrame, *keep: str, prefix: str = "") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *counts], names=[*batch.schema.names[:n], *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema.fields[:n])
-    return part.mapInArrow(run, ", ".join([*([fields] if fields else []), *(f"{c} long" for c in names)]))
+    return arrow_map(part, run, ", ".join([*([fields] if fields else []), *(f"{c} long" for c in names)]))
 
 
 def base_failed(p: str = "") -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import label_sample, remainder
+from .common import arrow_map, label_sample, remainder
 
 #: Hashed features; the model has this many weights whatever the corpus.
 BITS = 20
@@ -157,7 +157,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             scores, spans = score_texts(batch.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32)), pa.array(spans, pa.string())], names=["doc_id", "score", "predicted", "offending"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, score double, predicted int, offending string")
+    return arrow_map(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), run, "doc_id long, score double, predicted int, offending string")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
