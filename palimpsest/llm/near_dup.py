@@ -230,3 +230,18 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     asked = marked.filter("_maybe").select(*(marked[c] for c in docs.columns))
     gone = gone.select(F.col("doc_id").alias("_gone"))
     return sure.unionAll(asked.join(gone, asked["doc_id"].cast("long") == gone["_gone"], "left_anti"))
+
+
+def sql(width: int, percent: int) -> str:
+    """The same result in DuckDB: all pairs that share a shingle, and reachability over links."""
+    word = r"[^\x20\x09-\x0D]+"
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, spot, spot + {width - 1}), ' ') AS sh FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {width - 2}, 2))) AS spot FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= {percent} * (a.n + b.n - common)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, l.y FROM reach JOIN l ON l.x = reach.y),
+c AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
+"""

@@ -160,3 +160,51 @@ def keep_good(docs: DataFrame) -> DataFrame:
     counts = stored(measured(docs, "lang", "source"), "quality_counts")
     judged = judge(measured(docs, *docs.columns, prefix="__q_"), thresholds(counts), prefix="__q_")
     return judged.filter("__q_kept").select(*(judged[c] for c in docs.columns))
+
+
+def _sql() -> str:
+    """The same verdicts in DuckDB."""
+    values = {n: v.format(p="").replace(" div ", " // ") for n, (v, *_) in RULES.items()}
+    rules = " UNION ALL ".join(f"SELECT lang, source, '{n}' AS rule, {v} AS value FROM good" for n, v in values.items())
+
+    def quartiles(name: str, by: str) -> str:
+        group = f"{by}, rule" if by else "rule"
+        return f"""
+{name}_m AS (SELECT {group}, cell, sum(n) AS n FROM sketch GROUP BY ALL),
+{name}_u AS (SELECT *, sum(n) OVER (PARTITION BY {group} ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY {group}) AS total FROM {name}_m),
+{name} AS (SELECT {group}, {", ".join(f"min(cell) FILTER (4 * upto >= {k} * total) AS q{k}" for k in (1, 2, 3))}, max(total) AS total FROM {name}_u GROUP BY ALL)"""
+
+    pick = ", ".join(f"CASE WHEN f.total >= {LEAST_GROUP} THEN f.q{k} WHEN g.total >= {LEAST_GROUP} THEN g.q{k} ELSE h.q{k} END AS q{k}" for k in (1, 2, 3))
+    bounds, tests = [], []
+    for n, (_, least, high, low) in RULES.items():
+        own = []
+        if high:
+            bounds.append(f"max(q2 + greatest({least}, {SPREAD} * (q3 - q2))) FILTER (rule = '{n}') AS {n}_high")
+            own.append(f"{values[n]} > {n}_high")
+        if low:
+            bounds.append(f"max(q2 - greatest({least}, {SPREAD} * (q2 - q1))) FILTER (rule = '{n}') AS {n}_low")
+            own.append(f"{values[n]} < {n}_low")
+        tests.append(f"CASE WHEN {' OR '.join(own)} THEN '{n}' END")
+    leads = ", ".join(f"lead(w, {k}) OVER o" for k in range(1, WINDOW))
+    word = r"[^\x20\x09-\x0D]+"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{word}') AS ws, [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '{word}')] AS ls FROM d),
+u AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS spot1 FROM w),
+p AS (SELECT rid, spot1, CASE WHEN lead(w, {WINDOW - 1}) OVER o IS NOT NULL THEN concat_ws(' ', w, {leads}) END AS run FROM u WINDOW o AS (PARTITION BY rid ORDER BY spot1)),
+v AS (SELECT rid, spot1, count(*) OVER (PARTITION BY rid, run) AS times FROM p WHERE run IS NOT NULL),
+r AS (SELECT rid, count(DISTINCT spot) AS n FROM (SELECT rid, unnest(range(spot1, spot1 + {WINDOW})) AS spot FROM v WHERE times > 1) GROUP BY rid),
+c AS (SELECT rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines FROM w LEFT JOIN r USING (rid)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
+good AS (SELECT * FROM b WHERE NOT base_failed),
+cells AS (SELECT *, greatest(length(bin(value)) - 6, 0)::INT AS k FROM ({rules})),
+sketch AS (SELECT lang, source, rule, (value >> k) << k AS cell, count(*) AS n FROM cells GROUP BY ALL),{quartiles("fine", "lang, source")},{quartiles("mid", "lang")},{quartiles("every", "")},
+t AS (SELECT f.lang, f.source, f.rule, {pick} FROM fine f JOIN mid g ON g.lang IS NOT DISTINCT FROM f.lang AND g.rule = f.rule JOIN every h ON h.rule = f.rule),
+bounds AS (SELECT lang, source, {", ".join(bounds)} FROM t GROUP BY ALL),
+o AS (SELECT b.*, concat_ws(',', {", ".join(tests)}) AS rules_failed FROM b LEFT JOIN bounds ON b.lang IS NOT DISTINCT FROM bounds.lang AND b.source IS NOT DISTINCT FROM bounds.source)
+SELECT doc_id, {", ".join(COUNTS)}, base_failed, rules_failed, NOT base_failed AND rules_failed = '' AS kept FROM o
+"""
+
+
+SQL = _sql()
