@@ -48,6 +48,12 @@ def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def guarded(docs: DataFrame, *known: str):
+    """``docs`` with all columns but the known ones renamed, so that none clashes, and what undoes it for a result."""
+    inner = docs.select(*(docs[c].alias(c if c in known else f"_x{k}") for k, c in enumerate(docs.columns)))
+    return inner, lambda out: out.select(*(out[i].alias(c) for i, c in zip(inner.columns, docs.columns, strict=True)))
+
+
 def remainder(key: Column, divisor: int) -> Column:
     """crc32 of the key written as text, modulo ``divisor``; a null key counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % divisor

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_filter, pass_filter, stored
+from .common import guarded, key_filter, pass_filter, stored
 
 WINDOW, DIVISOR, FACTOR = 2, 3, 31
 LEAST_LINES = 2
@@ -92,9 +92,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated multi-line chunks taken out of text; its columns, whatever their names."""
-    inner = docs.select(*(docs[c].alias(c if c in ("doc_id", "text") else f"_c{k}") for k, c in enumerate(docs.columns)))
-    out = apply(inner, repeats(inner))
-    return out.select(*(out[i].alias(c) for i, c in zip(inner.columns, docs.columns, strict=True)))
+    inner, back = guarded(docs, "doc_id", "text")
+    return back(apply(inner, repeats(inner)))
 
 
 #: The same result in DuckDB, where chunks are grouped by their bytes at once.

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import guarded, stored
 
 #: Documents in one cell of an epoch's order; only the cell in which a prefix ends is sorted.
 CELL = 4096
@@ -124,10 +124,8 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 def remix(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The documents as mix_sources() takes them, a row for each epoch, with their columns, whatever their names."""
-    known = ("doc_id", "text", "lang", "source")
-    inner = docs.select(*(docs[c].alias(c if c in known else f"_x{k}") for k, c in enumerate(docs.columns)))
-    out = mixed(inner, mix)
-    return out.select(*(out[i].alias(c) for i, c in zip(inner.columns, docs.columns, strict=True)))
+    inner, back = guarded(docs, "doc_id", "text", "lang", "source")
+    return back(mixed(inner, mix))
 
 
 def sql(mix: Mix = Mix()) -> str:

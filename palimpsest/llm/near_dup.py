@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import arrow_map, key_filter, pass_filter, stored
+from .common import arrow_map, guarded, key_filter, pass_filter, stored
 from .graphs import components
 
 BINS, ROWS = 128, 4
@@ -225,11 +225,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that near_duplicates() keeps, with all their columns, whatever their names."""
     gone = stored(near_duplicates(docs, width, percent).filter("NOT kept").select("doc_id").distinct(), "gone")
-    marked = pass_filter(docs, key_filter(gone, "doc_id"), docs["doc_id"].cast("long"), "mark")
-    sure = marked.filter("NOT _maybe").select(*(marked[c] for c in docs.columns))
-    asked = marked.filter("_maybe").select(*(marked[c] for c in docs.columns))
+    inner, back = guarded(docs, "doc_id")
+    marked = pass_filter(inner, key_filter(gone, "doc_id"), inner["doc_id"].cast("long"), "mark")
+    sure, asked = (marked.filter(f"{no} _maybe").drop("_maybe") for no in ("NOT", ""))
     gone = gone.select(F.col("doc_id").alias("_gone"))
-    return sure.unionAll(asked.join(gone, asked["doc_id"].cast("long") == gone["_gone"], "left_anti"))
+    return back(sure.unionAll(asked.join(gone, asked["doc_id"].cast("long") == gone["_gone"], "left_anti")))
 
 
 def sql(width: int, percent: int) -> str:

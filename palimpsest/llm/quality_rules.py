@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import arrow_map, stored
+from .common import arrow_map, guarded, stored
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -158,8 +158,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that quality_rules() keeps, with all their columns, whatever their names."""
     counts = stored(measured(docs, "lang", "source"), "quality_counts")
-    judged = judge(measured(docs, *docs.columns, prefix="__q_"), thresholds(counts), prefix="__q_")
-    return judged.filter("__q_kept").select(*(judged[c] for c in docs.columns))
+    inner, back = guarded(docs, "text", "lang", "source")
+    return back(judge(measured(inner, *inner.columns, prefix="__q_"), thresholds(counts), prefix="__q_").filter("__q_kept"))
 
 
 def _sql() -> str:

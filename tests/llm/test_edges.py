@@ -62,6 +62,6 @@ def test_stages_keep_the_columns(stage, spark, odd, none):
     if stage < 4:
         assert out.columns == odd.columns == empty.columns
         rows = {tuple(r)[5:] for r in out.collect()}
-        assert rows <= {("extra", 0.5, "extra", 7, "extra")}
+        assert rows <= {("extra", 0.5, "extra", 7, "extra", 1, "extra", 0, 6, "extra", "extra")}
     else:
         assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids"] and out.count() == 10
