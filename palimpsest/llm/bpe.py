@@ -27,7 +27,7 @@ PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Symbols from which a word is encoded by the heap.
 LONG = 256
 #: Words kept encoded in a worker; the cache starts anew beyond.
-CACHE = 200_000
+CACHE = 120_000
 _NONE = np.int64(1) << np.int64(40)
 
 
@@ -221,7 +221,7 @@ class Encoder:
 
 
 #: Characters of text that are cut into words at once.
-_AT_ONCE = 1 << 21
+_AT_ONCE = 1 << 20
 
 
 def _groups(texts: list[str | None]):
