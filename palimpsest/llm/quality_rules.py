@@ -110,7 +110,11 @@ def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
 
 
 def thresholds(counts: DataFrame) -> DataFrame:
-    """For each language and source a row with low and high bounds of every rule; both keys may be null."""
+    """For each language and source a row with low and high bounds of every rule; both keys may be null.
+
+    A stored table, so that its size is known when the documents' join with it is planned: while it is small, no text
+    is shuffled.
+    """
     sketch = sketches(counts)
     fine, lang, every = quantiles(sketch, ["lang", "source"]), quantiles(sketch, ["lang"]), quantiles(sketch, [])
     got = fine.select("lang", "source", "rule", F.struct("q1", "q2", "q3").alias("own"), F.col("total").alias("own_n"))
@@ -125,14 +129,14 @@ def thresholds(counts: DataFrame) -> DataFrame:
         bottom = F.col("q.q2") - F.greatest(F.lit(least), SPREAD * (F.col("q.q2") - F.col("q.q1")))
         bounds += [F.max(F.when(of, top)).alias(f"{name}_high")] if high else []
         bounds += [F.max(F.when(of, bottom)).alias(f"{name}_low")] if low else []
-    return got.groupBy("lang", "source").agg(*bounds)
+    return stored(got.groupBy("lang", "source").agg(*bounds), "bounds")
 
 
 def judge(counts: DataFrame, bounds: DataFrame, prefix: str = "") -> DataFrame:
     """Adds base_failed, rules_failed (names of failed adaptive rules, comma-joined) and kept, with ``prefix``.
 
     A language and source without bounds (no document passed the base rules) fails no adaptive rule. The bounds are
-    one small row for each group; Spark broadcasts them if their measured size allows and else splits hot groups.
+    one small row for each group; Spark broadcasts them if the stored size allows and else splits hot groups.
     """
     named = bounds.select(F.col("lang").alias("__b_lang"), F.col("source").alias("__b_source"), *(F.col(c).alias(f"__b_{c}") for c in bounds.columns[2:]))
     joined = counts.join(named, counts["lang"].eqNullSafe(named["__b_lang"]) & counts["source"].eqNullSafe(named["__b_source"]), "left")
