@@ -93,7 +93,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """
     part = _prepared(docs, mix)
     plan = stored(_budgets(part, mix), "plan")
-    rule = plan.select(*(F.col(c).alias(f"_r{c}") for c in _KEYS), F.expr("CASE WHEN available > 0 THEN given div available ELSE 0 END").alias("_m_whole"), F.expr("CASE WHEN available > 0 THEN given % available ELSE 0 END").alias("_m_rest"), F.ceil(F.col("n_docs") / CELL).alias("_m_cells"))
+    rule = plan.select(*(F.col(c).alias(f"_r{c}") for c in _KEYS), F.expr("CASE WHEN available > 0 THEN given div available ELSE 0 END").alias("_m_whole"), F.expr("CASE WHEN available > 0 THEN given % available ELSE 0 END").alias("_m_rest"), F.ceil(F.sqrt(F.col("n_docs")) * CELLS).alias("_m_cells"))
     rows = part.join(rule, [F.col(c) == F.col(f"_r{c}") for c in _KEYS]).drop(*(f"_r{c}" for c in _KEYS))
     # the order of the epoch that is taken in part
     rows = rows.withColumn("_m_order", F.expr(f"md5(cast(concat_ws(':', '{mix.seed}', _m_whole + 1, coalesce(cast(doc_id AS string), '')) AS binary))"))

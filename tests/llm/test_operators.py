@@ -276,7 +276,7 @@ def test_prefixes_of_cells_equal_those_of_whole_leaves(spark, small, monkeypatch
     docs = table(spark, small, "documents")
     rows = lambda: sorted((r["doc_id"], r["epoch"]) for r in mixing.mix_sources(docs).collect())
     one = rows()
-    monkeypatch.setattr(mixing, "CELL", 3)
+    monkeypatch.setattr(mixing, "CELLS", 7.0)
     assert rows() == one
 
 
