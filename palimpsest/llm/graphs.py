@@ -24,6 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
+        # dealt out anew, so that both sides of the join come from exchanges and Spark can split a hub's links
+        least = least.hint("rebalance")
         large = both.filter("v > u").join(least, F.col("u") == F.col("_u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "_a")
         small = large.join(least, F.col("a") == F.col("_a")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
