@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import guarded, stored
 
-#: Documents in one cell of an epoch's order; only the cell in which a prefix ends is sorted.
-CELL = 4096
+#: Cells of a leaf's order: this many times the root of its number of documents. Only the cell in which a prefix ends
+#: is sorted, and both the cells and the documents of one grow with the root.
+CELLS = 1.0
 
 
 @dataclass(frozen=True)
