@@ -27,7 +27,7 @@ from .graphs import components
 
 BINS, ROWS = 128, 4
 #: Documents that are compared with as many others in one block.
-BLOCK = 512
+BLOCK = 128
 _PROBES = 64
 
 
