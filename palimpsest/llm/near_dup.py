@@ -172,6 +172,7 @@ def _rest(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sizes = families.groupBy("family", "label").agg(F.count("*").alias("n"))
     whole = sizes.groupBy("family").agg(F.sum("n").alias("total"), F.max(F.struct("n", "label")).alias("main")).filter("total > main.n")
     whole = whole.select(F.col("family").alias("_f"), F.col("main.label").alias("main"), F.ceil(F.col("total") / BLOCK).alias("targets"), F.ceil((F.col("total") - F.col("main.n")) / BLOCK).alias("probes"))
+    whole = stored(whole, "unsettled")  # its size is known when the join is planned
     rows = families.join(whole, F.col("family") == F.col("_f")).select("family", "rep", "label", (F.col("label") != F.col("main")).alias("probe"), "targets", "probes")
     rows = rows.join(sets, F.col("rep") == F.col("_id")).drop("_id")
     single = (F.col("targets") == 1) & (F.col("probes") == 1)
@@ -213,7 +214,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     labels = components(links)
     families = components(pairs.select(F.col("centre").alias("a"), F.col("rep").alias("b"))).select(F.col("node").alias("rep"), F.col("label").alias("family"))
     families = families.join(labels.withColumnRenamed("label", "_label"), F.col("rep") == F.col("node"), "left").select("rep", "family", F.coalesce("_label", "rep").alias("label"))
-    rest = stored(_rest(families, sets, percent), "rest")
+    rest = stored(_rest(stored(families, "families"), sets, percent), "rest")
     if not rest.isEmpty():
         labels = components(links.union(rest))
     final = classes.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("mark").alias("_mark"), F.coalesce("label", "rep").alias("component"))
