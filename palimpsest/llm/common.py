@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,7 +42,7 @@ BATCH_BYTES = 4 << 20
 def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
     """mapInArrow() with batches of at most BATCH_BYTES (set for the session, unless it has a lower bound)."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.sub(r"\D", "", conf.get(name)) or 0) > BATCH_BYTES:
+    if df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(name)) > BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
@@ -86,7 +85,8 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int, l
     """Texts and labels of at most ``most`` labelled documents outside the held-out fold, as a pandas frame.
 
     The bound is the documented parameter of the trained operators; ids are drawn by hash, so the draw does not
-    depend on order. Conflicting labels of one document count as their maximum; null labels are skipped. ``more``: further columns of ``docs`` by name.
+    depend on order. Conflicting labels of one document count as their maximum; null labels are skipped. ``more``:
+    further columns of ``docs`` by name.
     """
     ids = (
         labels.select(labels["doc_id"].alias("_id"), labels[label].cast("int").alias("label"))
