@@ -103,7 +103,7 @@ def test_toxicity_finds_sentences_from_document_labels(spark):
 
 
 def test_toxicity_on_the_held_out_fold(spark):
-    """The labels of a tenth of the toxic documents have no trace in the text, so recall cannot be whole."""
+    """About a tenth of the toxic documents share no toxic word with others, so recall cannot be whole."""
     at = "/root/testdata/sf0.1"
     out = {r["doc_id"]: r for r in toxicity.toxicity(table(spark, at, "documents"), table(spark, at, "labels")).collect()}
     held = folds(spark, at, "toxic", 5, 0)
