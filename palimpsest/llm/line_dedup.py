@@ -4,6 +4,10 @@ A document's \\n-split lines are hashed; a rolling hash over the last ``WINDOW``
 divisible by ``DIVISOR``, so chunk borders follow content and an insertion shifts only its neighbours. Of the
 multi-line chunks that occur more than once among all documents, the first occurrence (least doc_id, then least line)
 stays and every other one whose bytes equal it is removed.
+
+Borders depend on the lines around a passage, so short repeated passages in different surroundings share no chunk.
+complete() therefore also compares every two neighbouring lines that have a word (with the blank ones between them):
+of those that stand in several places the first stays whole, and the lines of every other one go, wherever chunks end.
 """
 
 from __future__ import annotations
@@ -77,26 +81,87 @@ def apply(docs: DataFrame, removed: DataFrame) -> DataFrame:
     return sure.unionAll(done)
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def _pairs(docs: DataFrame) -> DataFrame:
+    """Adds _lines and _pairs: array of struct(at, n, body) for each two lines with a word that only blank ones part."""
+    out = docs.withColumn("_lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
+    out = out.withColumn("_full", F.expr(r"filter(sequence(0, size(_lines) - 1), i -> get(_lines, i) RLIKE '[^\\x20\\x09-\\x0D]')"))
+    # sequence() would count down for fewer than two lines
+    out = out.withColumn("_pairs", F.expr("transform(slice(sequence(0, size(_full)), 1, greatest(size(_full) - 1, 0)), k -> named_struct('at', _full[k], 'n', _full[k + 1] - _full[k] + 1, 'body', array_join(slice(_lines, _full[k] + 1, _full[k + 1] - _full[k] + 1), '\\n')))"))
+    return out.drop("_full")
+
+
+def _mark(at: str, n: str, body_hash: str) -> str:
+    """Place and hash in one string: set functions look atoms up by hash, structs one by one."""
+    return f"concat_ws(':', {at}, {n}, {body_hash})"
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """Repeated pairs of lines: doc_id, mark, kind (gone, or held for the first place). Stored in the shared folder."""
+    part = docs.select(docs["doc_id"], docs["text"])
+    rows = _pairs(part).select("doc_id", F.explode_outer("_pairs").alias("c")).select("doc_id", "c.at", "c.n", "c.body")
+    rows = rows.filter("body IS NOT NULL").withColumn("hash", F.xxhash64("body"))
+    place = F.struct("doc_id", "at")
+    # equal rows of one doc_id are one place
+    twice = rows.groupBy("hash").agg(F.min(place).alias("keep"), F.max(place).alias("last")).filter("NOT keep <=> last")
+    twice = stored(twice.select(F.col("hash").alias("_hash"), "keep"), "repeated_pairs")
+    found = pass_filter(rows, key_filter(twice, "_hash"), F.col("hash"))
+    found = found.join(twice, F.col("hash") == F.col("_hash")).withColumn("first", place.eqNullSafe(F.col("keep")))
+    found = stored(found.select("doc_id", F.expr(_mark("at", "n", "hash")).alias("mark"), "body", "hash", "first"), "pairs")
+    kept = found.filter("first").groupBy("hash").agg(F.min("body").alias("_body")).withColumnRenamed("hash", "_hash")
+    gone = found.filter("NOT first").join(kept, (F.col("hash") == F.col("_hash")) & (F.col("body") == F.col("_body")))
+    held = found.filter("first").select("doc_id", "mark", F.lit("held").alias("kind"))
+    return stored(gone.select("doc_id", "mark", F.lit("gone").alias("kind")).unionAll(held), "passages")
+
+
+def complete(docs: DataFrame) -> DataFrame:
+    """``docs`` as apply() gives them, without repeated chunks and without repeated passages that share no chunk.
+
+    A line goes if it is in a repeated chunk or pair and not in the first place of a repeated pair. Each removed line
+    stands in an earlier place too, and of each removed pair one copy stays whole.
+    """
+    chunks = repeats(docs).select("doc_id", F.expr(_mark("at", "n", "hash")).alias("mark"), F.lit("chunk").alias("kind"))
+    marks = chunks.unionAll(passages(docs))
+    sets = [F.collect_set(F.when(F.col("kind") == k, F.col("mark"))).alias(f"_{k}_marks") for k in ("chunk", "gone", "held")]
+    own = marks.groupBy("doc_id").agg(*sets).withColumnRenamed("doc_id", "_gone_id")
+    marked = pass_filter(docs, key_filter(marks.filter("kind <> 'held'"), "doc_id"), docs["doc_id"], "mark")
+    plain = [marked[c] for c in docs.columns]
+    count = F.size(F.split(F.coalesce(marked["text"], F.lit("")), "\n", -1)).alias("_n_lines")
+    none = F.expr("cast(array() AS array<struct<at: int, n: int>>)").alias("_removed")
+    sure = marked.filter("NOT _maybe").select(*plain, count, none)
+    asked = marked.filter("_maybe").select(*plain)
+    asked = asked.join(own, asked["doc_id"].eqNullSafe(own["_gone_id"]), "left")
+    asked = _pairs(_chunks(asked).drop("_lines"))
+    # a mark holds only for the row that has its text: rows may share a doc_id
+    numbers = lambda name, of: f"flatten(transform(array_intersect(transform({of}, c -> {_mark('c.at', 'c.n', 'xxhash64(c.body)')}), coalesce({name}, cast(array() AS array<string>))), m -> sequence(cast(split_part(m, ':', 1) AS int), cast(split_part(m, ':', 1) AS int) + cast(split_part(m, ':', 2) AS int) - 1)))"
+    asked = asked.withColumn("_out", F.expr(f"array_sort(array_except(array_union({numbers('_chunk_marks', '_chunks')}, {numbers('_gone_marks', '_pairs')}), {numbers('_held_marks', '_pairs')}))"))
+    asked = asked.withColumn("_next", F.expr("transform(_out, i -> i + 1)"))
+    text = F.expr("CASE WHEN size(_out) = 0 THEN text ELSE array_join(transform(array_except(sequence(0, size(_lines) - 1), _out), i -> get(_lines, i)), '\\n') END")
+    runs = F.expr("zip_with(array_except(_out, _next), array_except(_next, _out), (a, b) -> named_struct('at', a, 'n', b - a))")
+    done = asked.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), F.size("_lines").alias("_n_lines"), runs.alias("_removed"))
+    return sure.unionAll(done)
+
+
+def line_dedup(docs: DataFrame, whole: bool = True) -> DataFrame:
     """doc_id, n_lines, n_removed (lines), removed (first:end line numbers, comma-joined), text of every document.
 
     A null text counts as one empty line and stays null. Rows that share doc_id, place and bytes of a first occurrence
-    all keep it; null ids come first. Lines that stand alone between borders are never removed. Extra columns are not
-    read; an empty table gives an empty one.
+    all keep it; null ids come first. ``whole=False`` removes repeated chunks only, as SQL does; repeated passages
+    whose chunks differ then stay. A repeated line with no repeated neighbour is no passage and stays. Extra columns
+    are not read; an empty table gives an empty one.
     """
     part = docs.select(docs["doc_id"], docs["text"])
-    out = apply(part, repeats(part))
+    out = complete(part) if whole else apply(part, repeats(part))
     spans = F.expr("array_join(transform(array_sort(_removed), r -> concat(r.at, ':', r.at + r.n)), ',')")
     return out.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.expr("aggregate(_removed, 0L, (a, r) -> a + r.n)").alias("n_removed"), spans.alias("removed"), "text")
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated multi-line chunks taken out of text; its columns, whatever their names."""
+    """``docs`` with repeated multi-line chunks and passages taken out of text; its columns, whatever their names."""
     inner, back = guarded(docs, "doc_id", "text")
-    return back(apply(inner, repeats(inner)))
+    return back(complete(inner))
 
 
-#: The same result in DuckDB, where chunks are grouped by their bytes at once.
+#: The result of ``whole=False`` in DuckDB, where chunks are grouped by their bytes at once.
 SQL = f"""
 WITH l AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 u AS (SELECT rid, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS pos FROM l),

@@ -70,12 +70,18 @@ SQL["op5_mixing_sources"] = mixing.sql()
 
 @query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), whole=False)
 
 
 SQL["op10_line_dedup"] = line_dedup.SQL
 
 
+@query
+def op10_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10_line_dedup with the repeated passages that share no chunk; its SQL form knows chunks only."""
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))

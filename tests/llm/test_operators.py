@@ -252,6 +252,20 @@ def test_only_repeated_multi_line_chunks_go(spark):
     assert all(len(out[k]["text"].split("\n")) == 40 - out[k]["n_removed"] for k in range(1, 20))
 
 
+def test_short_passages_go_whatever_surrounds_them(spark):
+    pick = random.Random(9)
+    line = lambda: " ".join(f"w{pick.randrange(10**6)}" for _ in range(6))
+    for n in (2, 3, 4):
+        passage = [line() for _ in range(n)]
+        passage.insert(1, " ")  # a blank line within it
+        own = {k: ([line() for _ in range(4)], [line() for _ in range(4)]) for k in range(30)}
+        data = [(k, "\n".join([*a, *passage, *b])) for k, (a, b) in own.items()]
+        data += [(98, passage[0] + "\n" + line()), (99, "same\nsame\nsame\nsame\nsame")]
+        out = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+        assert out[0]["text"] == data[0][1] and out[98]["n_removed"] == 0 and out[99]["text"] == "same\nsame"
+        assert all(out[k]["text"] == "\n".join([*own[k][0], *own[k][1]]) and out[k]["removed"] == f"4:{5 + n}" for k in range(1, 30))
+
+
 def test_line_dedup_runs_no_python(spark, small):
     for run in (line_dedup.line_dedup, secret_scan.candidates):
         plan = run(table(spark, small, "documents"))._jdf.queryExecution().executedPlan().toString()
