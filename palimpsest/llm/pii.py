@@ -1,11 +1,15 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of identifiers that they miss.
 
-The base patterns' spans are seeds. The two words before and the two after a seed are its lexical patterns; every
-other identifier-like token (three digits or more) that stands in such a context is an unlabelled instance. Spark
-scores the graph of patterns and instances in rounds: a pattern's confidence in a kind is the score of its instances
-over its uses in the whole corpus, where an unlabelled instance counts no more than its score (it may well be of the
-kind) but every other word counts; an instance's score is the noisy-or of its patterns. Instances of high-confidence
-patterns are added as spans of that kind if they have its shape (letters or none); base spans always stay.
+The base patterns' spans are seeds. The lexical patterns of a span are the word and the two words before and after it,
+and the pair of words around it with the number of words that it has between them. Every other identifier-like span
+(loosened base shapes: numbers in several parts, dotted or colon-joined addresses, spelt-out or dotless e-mail
+addresses, tokens of three digits or more) that stands in such a context is an unlabelled instance. Spark scores the
+graph of patterns and instances in rounds. In each, the patterns with SUPPORT mentions of seeds or of instances that
+were discovered before count: a pattern's confidence in a kind is the score of its instances over its uses in the whole
+corpus, where an unlabelled instance counts no more than its score (it may well be of the kind) but every other word
+counts; an instance's score is the noisy-or of its patterns, and it is discovered if one of them is confident.
+Instances of the last round's confident patterns are added as spans of that kind if they have its shape; base spans
+always stay.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from . import textnp
 from .common import FILTER_BITS, arrow_map, stored
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of scoring; the least confidence and number of distinct seeds of a pattern that discovers.
+#: Rounds of scoring; the least confidence and number of seeded mentions of a pattern that discovers.
 ROUNDS, CONFIDENT, SUPPORT = 3, 0.8, 5
 
 _DIGIT = re.compile("[0-9]")
@@ -32,7 +36,15 @@ _HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_AT = re.compile(r"[\x20(\[]at[\x20)\]]", re.I)
 _TOKEN = re.compile(r"(?<![A-Za-z0-9-])[A-Za-z0-9](?:[A-Za-z0-9-]{4,62})[A-Za-z0-9](?![A-Za-z0-9-])")
+# numbers in parts of up to six digits, with one separator each
+_PARTS = re.compile(r"(?<![A-Za-z0-9])[+(]?[0-9]{1,6}+(?![0-9])(?:(?:\x20?\(|\)\x20?|[\x20.-])[0-9]{1,6}+(?![A-Za-z0-9]))+")
+_COLONS = re.compile(r"(?<![A-Za-z0-9:])[0-9A-Fa-f]{0,4}+(?::[0-9A-Fa-f]{0,4}+){2,7}(?![A-Za-z0-9:])")
+_NAME = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++"
+_MAIL = re.compile(_NAME + r"(?:\x20?(?:@|[(\[]at[)\]])\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[]dot[)\]]\x20?|\x20dot\x20)[A-Za-z0-9-]++)*|\x20at\x20[A-Za-z0-9-]++(?:\x20dot\x20[A-Za-z0-9-]++)+)", re.I)
+#: Most words between the two of a context around a span.
+SLOTS = 6
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -108,52 +120,84 @@ def _bases(docs: DataFrame) -> DataFrame:
     return arrow_map(docs, run, "doc_id long, key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string")
 
 
-def _bigrams(c: textnp.Chunk) -> np.ndarray:
-    """A 64-bit hash of each two neighbouring words, with borders of documents ignored."""
+def loose_spans(text: str, spans) -> list[tuple[int, int, int]]:
+    """start, end, shape of identifier-like spans that overlap neither base spans nor each other.
+
+    Shapes: -1 digits (a card, phone or dotted address), -2 letters (e-mail), -3 an address joined by colons.
+    """
+    taken, out = bytearray(len(text)), []
+    for a, _, b in spans:
+        taken[a:b] = b"\1" * (b - a)
+
+    def add(a, b, shape):
+        if taken.find(1, a, b) < 0:
+            taken[a:b] = b"\1" * (b - a)
+            out.append((a, b, shape))
+
+    if "@" in text or _AT.search(text):
+        for m in _MAIL.finditer(text):
+            add(*m.span(), -2)
+    if _DIGIT.search(text):
+        for m in _PARTS.finditer(text):
+            if 7 <= (n := len(_DIGIT.findall(m.group()))) <= 19 or n >= 4 and m.group().count(".") == 3:
+                add(*m.span(), -1)
+        if ":" in text:
+            for m in _COLONS.finditer(text):
+                if len(m.group().replace(":", "")) >= 3:
+                    add(*m.span(), -3)
+        for m in _TOKEN.finditer(text):
+            if len(_DIGIT.findall(m.group())) >= 3:
+                add(*m.span(), -1 if m.group().replace("-", "").isdigit() else -2)
+    return out
+
+
+def _contexts(c: textnp.Chunk) -> list[np.ndarray]:
+    """64-bit hashes, borders of documents ignored: each word, each two neighbouring words, each two with k = 1 to SLOTS words between."""
     c.words(_LETTER)
     c.prefix(lower=True)
-    return textnp.windows(c.hashes(c.start, c.end), 2)
+    word = c.hashes(c.start, c.end)
+    slots = [textnp.mix(textnp.windows(word[: len(word) - k - 1], 1) + word[k + 1 :] + np.uint64(k)) if len(word) > k + 1 else word[:0] for k in range(1, SLOTS + 1)]
+    return [word, textnp.windows(word, 2), *slots]
 
 
 def _mentions(docs: DataFrame) -> DataFrame:
-    """Seeds (kind) and identifier-like tokens (kind -1, with letters -2): doc_id, key, kind, at, to, instance, before, after (patterns)."""
+    """Seeds (kind) and identifier-like spans (their shape as kind): doc_id, key, kind, at, to, instance, contexts (patterns)."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not text or not _DIGIT.search(text) and "@" not in text:
+                if not text or not _DIGIT.search(text) and "@" not in text and not _AT.search(text):
                     continue
-                spans = [(a, b, k) for a, k, b in base_spans(text)]
-                taken = np.array(spans, np.int64).reshape(-1, 3)
-                for m in _TOKEN.finditer(text):
-                    a, b = m.span()
-                    if len(_DIGIT.findall(m.group())) >= 3 and not ((taken[:, 0] < b) & (taken[:, 1] > a)).any():
-                        spans.append((a, b, -1 if m.group().replace("-", "").isdigit() else -2))
+                base = base_spans(text)
+                spans = [(a, b, k) for a, k, b in base] + loose_spans(text, base)
                 if not spans:
                     continue
                 (c,) = textnp.chunks(pa.array([text], pa.large_string()))
-                pair = _bigrams(c)
+                word, pair, *slots = (x.view(np.int64) for x in _contexts(c))
                 points = np.append(np.flatnonzero(textnp.IS_HEAD[c.buf]), len(c.buf))  # byte of each code point
                 key = _text_key(text)
                 for a, b, k in spans:
-                    # words that end before the span; words that start after it
-                    left = int(np.searchsorted(c.end, points[a], "right")) - 2
+                    # the last word that ends before the span; the first that starts after it
+                    left = int(np.searchsorted(c.end, points[a], "right")) - 1
                     right = int(np.searchsorted(c.start, points[b], "left"))
-                    before = int(pair[left].view(np.int64)) if left >= 0 and len(pair) > left else None
-                    after = int(pair[right].view(np.int64) ^ np.int64(1)) if right < len(pair) else None
-                    rows.append((doc_id, key, k, a, b, _text_key(text[a:b]), before, after))
-            columns = list(zip(*rows, strict=True)) or [()] * 8
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "key", "kind", "at", "to", "instance", "before", "after"])
+                    found = [int(word[left])] if left >= 0 else []
+                    found += [int(pair[left - 1])] if left >= 1 else []
+                    found += [int(word[right]) ^ 1] if right < len(word) else []
+                    found += [int(pair[right]) ^ 1] if right < len(pair) else []
+                    found += [int(slots[right - left - 2][left])] if left >= 0 and right < len(word) and 1 <= right - left - 1 <= SLOTS else []
+                    rows.append((doc_id, key, k, a, b, _text_key(text[a:b]), found))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "key", "kind", "at", "to", "instance", "contexts"])
 
-    return arrow_map(docs, run, "doc_id long, key long, kind int, at long, to long, instance long, before long, after long")
+    return arrow_map(docs, run, "doc_id long, key long, kind int, at long, to long, instance long, contexts array<long>")
 
 
 def _uses(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """pattern, uses: how often each pattern's two words stand together in all texts.
+    """pattern, uses: how often each pattern's words stand so in all texts.
 
-    Workers look pairs up in a bitmap of the patterns (8 MiB, whatever their number) and count only those; pairs that
+    Workers look contexts up in a bitmap of the patterns (8 MiB, whatever their number) and count only those; others that
     merely share a bit are dropped by the join with the patterns.
     """
     slot = F.pmod(F.shiftright("pattern", 1), F.lit(FILTER_BITS))
@@ -168,16 +212,14 @@ def _uses(docs: DataFrame, patterns: DataFrame) -> DataFrame:
         for batch in batches:
             found = []
             for c in textnp.chunks(batch.column(1)):
-                pair = _bigrams(c).view(np.int64)
-                if not len(pair):
-                    continue
-                at = (pair >> 1) % FILTER_BITS
-                found.append(pair[(table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0])
+                for pair in (x.view(np.int64) for x in _contexts(c)):
+                    at = (pair >> 1) % FILTER_BITS
+                    found.append(pair[(table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0])
             value, n = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n.astype(np.int64))], names=["pair", "n"])
 
     counted = arrow_map(docs, run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    # a pair as context before is its hash, as context after its hash with the last bit turned
+    # a word or pair as context before is its hash, as context after its hash with the last bit turned
     both = counted.select(F.col("pair").alias("_p"), "n").unionAll(counted.select(F.col("pair").bitwiseXOR(F.lit(1)).alias("_p"), "n"))
     return patterns.join(both, F.col("pattern") == F.col("_p")).select("pattern", F.col("n").alias("uses"))
 
@@ -185,30 +227,35 @@ def _uses(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 def discover(docs: DataFrame) -> DataFrame:
     """doc_id, key, kind, at, to of the spans that confident patterns add; stored in the shared folder."""
     mentions = stored(_mentions(docs), "mentions")
-    edges = mentions.select("instance", "kind", F.explode(F.array("before", "after")).alias("pattern")).filter("pattern IS NOT NULL")
-    seeded = stored(edges.filter("kind >= 0").groupBy("pattern").agg(F.countDistinct("instance").alias("support")).filter(F.col("support") >= SUPPORT).select("pattern"), "patterns")
-    nothing = mentions.limit(0).select("doc_id", "key", "kind", "at", "to")
-    if seeded.isEmpty():
-        return nothing
-    uses = stored(_uses(docs, seeded), "uses")
-    # distinct edges of the graph, with how often each occurs
-    graph = stored(edges.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n")).join(uses.withColumnRenamed("pattern", "_p"), F.col("pattern") == F.col("_p")).drop("_p"), "graph")
-    shape = (F.col("kind") == -1) == (F.col("as_kind") != 0)  # only an e-mail address has letters
+    edges = mentions.select("key", "at", "instance", "kind", F.explode("contexts").alias("pattern"))
+    # what may have SUPPORT in some round; copies of one text mention a span once
+    often = stored(edges.groupBy("pattern").agg(F.countDistinct("key", "at").alias("support")).filter(F.col("support") >= SUPPORT).select("pattern"), "patterns")
+    if mentions.filter("kind >= 0").isEmpty() or often.isEmpty():
+        return mentions.limit(0).select("doc_id", "key", "kind", "at", "to")
+    uses = stored(_uses(docs, often), "uses")
+    # distinct edges of the graph, with how often each occurs and in how many mentions
+    once = edges.groupBy("pattern", "instance", "kind", "key", "at").agg(F.count("*").alias("n"))
+    once = once.groupBy("pattern", "instance", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("mentions"))
+    graph = stored(once.join(uses.withColumnRenamed("pattern", "_p"), F.col("pattern") == F.col("_p")).drop("_p"), "graph")
+    shape = F.expr("CASE kind WHEN -1 THEN as_kind <> 0 WHEN -2 THEN as_kind = 0 ELSE as_kind = 1 END")  # only an e-mail address has letters
     plain = graph.groupBy("pattern").agg((F.max("uses") - F.sum(F.when(F.col("kind") < 0, F.col("n")).otherwise(0))).alias("others"))
     plain = stored(plain.withColumnRenamed("pattern", "_q"), "others")
-    seeds = graph.filter("kind >= 0").select(F.col("instance").alias("_i"), F.col("kind").alias("as_kind")).distinct().withColumn("score", F.lit(1.0))
+    seeds = graph.filter("kind >= 0").select(F.col("instance").alias("_i"), F.col("kind").alias("as_kind")).distinct().withColumn("score", F.lit(1.0)).withColumn("sure", F.lit(True))
     scores = seeds
     for turn in range(ROUNDS):
         held = graph.join(scores, F.col("instance") == F.col("_i")).filter((F.col("kind") == F.col("as_kind")) | (F.col("kind") < 0) & shape)
         got = F.col("n") * F.col("score")
-        sums = held.groupBy("pattern", "as_kind").agg(F.sum(got).alias("sum"), F.sum(F.when(F.col("kind") < 0, got).otherwise(0.0)).alias("guessed"), F.sum(F.when(F.col("kind") >= 0, F.col("n")).otherwise(0)).alias("seeds"))
+        sums = held.groupBy("pattern", "as_kind").agg(F.sum(F.when(F.col("sure"), F.col("mentions")).otherwise(0)).alias("support"), F.sum(got).alias("sum"), F.sum(F.when(F.col("kind") < 0, got).otherwise(0.0)).alias("guessed"), F.sum(F.when(F.col("kind") >= 0, F.col("n")).otherwise(0)).alias("seeds"))
+        sums = sums.filter(F.col("support") >= SUPPORT)
         patterns = sums.join(plain, F.col("pattern") == F.col("_q")).select(F.col("pattern").alias("_p"), "as_kind", (F.col("sum") / (F.greatest("others", "seeds") + F.col("guessed"))).alias("confidence"))
         if turn < ROUNDS - 1:
             fresh = graph.filter("kind < 0").join(patterns, F.col("pattern") == F.col("_p")).filter(shape).groupBy(F.col("instance").alias("_i"), "as_kind")
-            fresh = fresh.agg((1 - F.exp(F.sum(F.log(1 - F.least(F.lit(0.999), F.col("confidence")))))).alias("score"))
+            fresh = fresh.agg((1 - F.exp(F.sum(F.log(1 - F.least(F.lit(0.999), F.col("confidence")))))).alias("score"), (F.max("confidence") >= CONFIDENT).alias("sure"))
+            # a seed that also stands where no base span is keeps its own score
+            fresh = fresh.join(seeds.select(F.col("_i").alias("_s"), F.col("as_kind").alias("_k")), (F.col("_i") == F.col("_s")) & (F.col("as_kind") == F.col("_k")), "left_anti")
             scores = stored(seeds.unionAll(fresh), f"scores{turn}")
     sure = stored(patterns.filter(F.col("confidence") >= CONFIDENT), "confident")
-    loose = mentions.filter("kind < 0").select("doc_id", "key", "kind", "at", "to", F.explode(F.array("before", "after")).alias("pattern"))
+    loose = mentions.filter("kind < 0").select("doc_id", "key", "kind", "at", "to", F.explode("contexts").alias("pattern"))
     found = loose.join(sure, F.col("pattern") == F.col("_p")).filter(shape).groupBy("doc_id", "key", "at", "to").agg(F.max_by("as_kind", F.struct("confidence", -F.col("as_kind"))).alias("kind"))
     return stored(found.select("doc_id", "key", "kind", "at", "to"), "discovered")
 

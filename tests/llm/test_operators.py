@@ -168,6 +168,27 @@ def test_confident_contexts_discover_identifiers_and_others_do_not(spark):
     assert all(out[1000 + k] == pii._joined(base(texts[1000 + k])) for k in range(400))
 
 
+def test_spans_of_several_parts_and_chained_patterns_are_discovered(spark):
+    pick = random.Random(7)
+    part = lambda n: "".join(pick.choice("0123456789") for _ in range(n))
+    shapes = ["({}) {}-{}", "{}.{}.{}", "{} {} {}"]
+    rows = [(k, f"Tel: +1 {part(3)} {part(3)} {part(4)} home") for k in range(6)]
+    rows += [(100 + k, f"Tel: {shapes[k % 3].format(part(3), part(3), part(4))} home") for k in range(30)]
+    # no base span stands after Fax: only discovered instances seed it
+    again = [t.removeprefix("Tel: ").removesuffix(" home") for d, t in rows if d >= 100]
+    rows += [(200 + k, f"Fax: {x} now") for k, x in enumerate(again)] + [(300 + k, f"Fax: {part(3)}.{part(3)}.{part(4)} now") for k in range(10)]
+    rows += [(400 + k, f"Mail: u{'abcdefgh'[k]}@some.org ok") for k in range(8)] + [(500 + k, f"Mail: {'abcdefgh'[k]}x [at] some [dot] org ok") for k in range(8)]
+    out = {r["doc_id"]: r["spans"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    tail = {"Tel": " home", "Fax": " now"}
+    for d, t in rows:
+        if 100 <= d < 400:
+            assert out[d] == f"phone:5:{len(t) - len(tail[t[:3]])}", t
+        if d >= 500:
+            assert out[d] == f"email:6:{len(t) - 3}", t
+    for text in ("1 " * 100_000, "a" * 300_000, "1:" * 100_000, "a at " * 50_000, "1.(" * 100_000):
+        pii.loose_spans(text, [])
+
+
 # media
 
 
