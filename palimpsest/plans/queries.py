@@ -104,6 +104,11 @@ def reverse_scan(spark, sf_dir):
     return versions.scan_back(event_log(spark, sf_dir), "user_id", (T0, ANY)).limit(5).select("user_id", "wall", "value")
 
 
+@query(f"WITH {_LOG}, n AS ({_newest(f'wall <= {T0}')}) SELECT user_id, wall, value FROM n WHERE rn = 1 AND NOT tombstone ORDER BY user_id DESC")
+def reverse_scan_all(spark, sf_dir):
+    return versions.scan_back(event_log(spark, sf_dir), "user_id", (T0, ANY)).select("user_id", "wall", "value")
+
+
 _TIMES = [(T_EARLY, ANY), (T0, ANY), (T_LATE, ANY)]
 
 
@@ -141,9 +146,18 @@ def inline_values(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders UNION ALL SELECT 10000000 + c_custkey, c_custkey, c_acctbal FROM customer WHERE c_custkey <= 100")
 def insert_upsert(spark, sf_dir):
+    return _upserted(spark, sf_dir, "c_custkey <= 100")
+
+
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders UNION ALL SELECT 10000000 + c_custkey, c_custkey, c_acctbal FROM customer")
+def insert_upsert_all(spark, sf_dir):
+    return _upserted(spark, sf_dir, "true")
+
+
+def _upserted(spark, sf_dir, inserted):
     base = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.lit(1).cast("long").alias("wall"), F.lit(0).alias("logical"), F.lit(False).alias("tombstone"))
     changed = base.filter("o_orderkey % 10 = 0").withColumns({"o_totalprice": F.col("o_totalprice") + 1, "wall": F.lit(2).cast("long")})
-    fresh = table(spark, sf_dir, "customer").filter("c_custkey <= 100").select((F.col("c_custkey") + 10_000_000).alias("o_orderkey"), F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("o_totalprice"), F.lit(2).cast("long").alias("wall"), F.lit(0).alias("logical"), F.lit(False).alias("tombstone"))
+    fresh = table(spark, sf_dir, "customer").filter(inserted).select((F.col("c_custkey") + 10_000_000).alias("o_orderkey"), F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("o_totalprice"), F.lit(2).cast("long").alias("wall"), F.lit(0).alias("logical"), F.lit(False).alias("tombstone"))
     log = versions.upsert(versions.upsert(base, changed), fresh)
     return versions.latest(log, ["o_orderkey"]).select("o_orderkey", "o_custkey", "o_totalprice")
 
@@ -173,8 +187,12 @@ def delete_tombstones(spark, sf_dir):
 # conflicts
 
 
+def _all_proposals(log: DataFrame) -> DataFrame:
+    return log.select("user_id", "event_id", "wall", F.lit(0).alias("logical"), F.col("event_id").alias("txn_id"))
+
+
 def _proposals(log: DataFrame) -> DataFrame:
-    return log.filter("event_id % 50 = 0").select("user_id", "event_id", "wall", F.lit(0).alias("logical"), F.col("event_id").alias("txn_id"))
+    return _all_proposals(log.filter("event_id % 50 = 0"))
 
 
 @query(f"WITH {_LOG}, m AS (SELECT user_id, max(wall) AS w FROM log WHERE wall <= {T0} GROUP BY user_id) SELECT event_id, p.user_id, CASE WHEN p.wall <= m.w THEN 'write_too_old' ELSE 'ok' END AS outcome, CASE WHEN p.wall <= m.w THEN m.w ELSE 0 END AS existing_wall FROM log p LEFT JOIN m USING (user_id) WHERE event_id % 50 = 0")
@@ -190,6 +208,22 @@ def write_intent_conflict(spark, sf_dir):
     return conflicts.classify_writes(_proposals(log), log, ["user_id"]).select("event_id", "user_id", "outcome", F.coalesce("existing_wall", F.lit(0)).alias("existing_wall"))
 
 
+# the same over every event: the texts above hold for a fiftieth
+
+
+@query(f"WITH {_LOG}, m AS (SELECT user_id, max(wall) AS w FROM log WHERE wall <= {T0} GROUP BY user_id) SELECT event_id, p.user_id, CASE WHEN p.wall <= m.w THEN 'write_too_old' ELSE 'ok' END AS outcome, CASE WHEN p.wall <= m.w THEN m.w ELSE 0 END AS existing_wall FROM log p LEFT JOIN m USING (user_id)")
+def write_too_old_all(spark, sf_dir):
+    log = event_log(spark, sf_dir)
+    known = log.filter(F.col("wall") <= T0).withColumn("txn_id", F.lit(None).cast("long"))
+    return conflicts.classify_writes(_all_proposals(log), known, ["user_id"]).select("event_id", "user_id", "outcome", F.coalesce("existing_wall", F.lit(0)).alias("existing_wall"))
+
+
+@query(f"WITH {_LOG}, i AS (SELECT user_id, wall AS iw, event_id AS holder FROM ({_newest(chr(39).join(['event_type = ', 'view', '']))}) WHERE rn = 1), m AS (SELECT user_id, max(struct_pack(w := wall, l := logical)) AS n FROM log GROUP BY user_id), c AS (SELECT p.event_id, p.user_id, i.iw, m.n.w AS nw, i.holder <> p.event_id AS held, i.holder IS NULL AND (p.wall < m.n.w OR p.wall = m.n.w AND 0 <= m.n.l) AS old FROM log p LEFT JOIN i USING (user_id) LEFT JOIN m USING (user_id)) SELECT event_id, user_id, CASE WHEN held THEN 'write_intent' WHEN old THEN 'write_too_old' ELSE 'ok' END AS outcome, CASE WHEN held THEN iw WHEN old THEN nw ELSE 0 END AS existing_wall FROM c")
+def write_intent_conflict_all(spark, sf_dir):
+    log = txn_log(spark, sf_dir)
+    return conflicts.classify_writes(_all_proposals(log), log, ["user_id"]).select("event_id", "user_id", "outcome", F.coalesce("existing_wall", F.lit(0)).alias("existing_wall"))
+
+
 @query(f"WITH {_LOG} SELECT user_id, max(wall) AS wall FROM log GROUP BY user_id HAVING max(wall) > {T_LATE} AND max(wall) <= {T_LATE + 7 * DAY}")
 def uncertainty_window(spark, sf_dir):
     return conflicts.uncertain(event_log(spark, sf_dir), ["user_id"], (T_LATE, ANY), (T_LATE + 7 * DAY, ANY)).select("user_id", "wall")
@@ -360,6 +394,12 @@ def quorum_commit_index(spark, sf_dir):
     return spread.quorum_index(rows, "range_id")
 
 
+@query("SELECT user_id AS range_id, list_sort(list(event_id % 100), 'DESC')[len(list(event_id)) // 2 + 1] AS commit_index, min(event_id % 100) AS slowest FROM events GROUP BY user_id")
+def quorum_commit_index_all(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("range_id"), (F.col("event_id") % 100).alias("match_index"))
+    return spread.quorum_index(rows, "range_id")
+
+
 @query("WITH m AS (SELECT o_custkey AS account, -(o_orderkey % 7) AS amount FROM orders UNION ALL SELECT (o_custkey * 31) % 150 + 1, o_orderkey % 7 FROM orders UNION ALL SELECT c_custkey, 100 FROM customer) SELECT account, sum(amount)::BIGINT AS balance FROM m GROUP BY account")
 def bank_transfer_balances(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")

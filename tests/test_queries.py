@@ -33,6 +33,14 @@ def test_query_equals_its_sql(spark, duck, name):
     assert key(tuple(r[c] for c in columns) for r in got.collect()) == key(want.project(", ".join(f'"{c}"' for c in columns)).fetchall())
 
 
+def test_whole_table_forms_leave_nothing_out(spark, duck):
+    run = lambda name: queries.QUERIES[name](spark, AT)
+    events, users, customers, orders = (duck.sql(q).fetchall()[0][0] for q in ("SELECT count(*) FROM events", "SELECT count(DISTINCT user_id) FROM events", "SELECT count(*) FROM customer", "SELECT count(*) FROM orders"))
+    assert run("write_too_old_all").count() == run("write_intent_conflict_all").count() == events
+    assert run("quorum_commit_index_all").count() == users and run("insert_upsert_all").count() == orders + customers
+    assert run("reverse_scan_all").count() == run("as_of_scan").count() > 5
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
