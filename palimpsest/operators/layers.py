@@ -37,6 +37,11 @@ def compacted(upper: DataFrame, lower: DataFrame, keys: Sequence[str], bottom: b
     return merged(stack(upper, lower), keys, "layer", tombstones=not bottom).drop("layer")
 
 
+def level_threshold(level: int) -> int:
+    """threshold() of one level."""
+    return L0_FILES * GROWTH**level
+
+
 def threshold(level: Column) -> Column:
     """Files at which a level is compacted into the next."""
     return (F.lit(L0_FILES) * F.pow(F.lit(float(GROWTH)), level)).cast("long")

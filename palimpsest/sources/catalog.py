@@ -29,7 +29,7 @@ def column_type(name: str) -> T.DataType:
     """The type of a SQL name; a length, as in VARCHAR(20), is not enforced."""
     plain = re.sub(r"\s*\(\s*\d+\s*\)$", "", " ".join(name.upper().split()))
     if plain not in TYPES:
-        raise CatalogError(f"unsupported column type: {name}")
+        raise CatalogError(f"{name!r} is not a type that columns can have")
     return TYPES[plain]
 
 
@@ -86,12 +86,12 @@ class Catalog:
         try:
             self.files.create(self._path(table.name), json.dumps(spec))
         except FileExistsError:
-            raise CatalogError(f"table {table.name!r} already exists") from None
+            raise CatalogError(f"there is a table named {table.name!r} already") from None
 
     def get(self, name: str) -> Table:
         path = self._path(name)
         if not self.files.exists(path):
-            raise CatalogError(f"table {name!r} not found")
+            raise CatalogError(f"no table is named {name!r}")
         spec = json.loads(self.files.read(path))
         kinds = {t.simpleString(): t for t in TYPES.values()}
         return Table(spec["name"], tuple((n, kinds[t]) for n, t in spec["columns"]), spec["key"])
@@ -101,6 +101,10 @@ class Catalog:
         self.get(name)
         self.files.delete(self._path(name))
 
+    def named(self, words: set[str]) -> list[str]:
+        """Those of some lower-case words that are names of tables: one listing, and no schema is read."""
+        return sorted(words & {n.removesuffix(".json") for n in self.files.names(f"{self.root}/_catalog")})
+
     def list(self) -> list[str]:
         names = [n.removesuffix(".json") for n in self.files.names(f"{self.root}/_catalog") if n.endswith(".json")]
         return sorted(self.get(n).name for n in names)

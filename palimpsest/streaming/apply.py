@@ -30,11 +30,14 @@ def apply_log(stream: DataFrame, store: VersionStore, checkpoint: str, **trigger
 
 
 def apply_log_with_snapshots(stream: DataFrame, store: VersionStore, checkpoint: str, every: int = 8, **trigger):
-    """apply_log() that merges the log's folders after each ``every`` batches."""
+    """apply_log() that, after each ``every`` batches, merges the levels that have become due and vacuums.
+
+    Only a due level's folders are rewritten, so a version is rewritten once for each level it passes.
+    """
 
     def step(rows: DataFrame, batch: int) -> None:
         if apply_batch(store, rows, batch) and (batch + 1) % every == 0:
-            store.compact()
+            store.compact_due()
             store.vacuum(keep=2)
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

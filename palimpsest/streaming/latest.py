@@ -22,9 +22,10 @@ def _keep_latest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState,
     now = state.get if state.exists else None
     fresh = False
     for frame in frames:
-        for stamp, node, value in zip(frame["stamp"], frame["node"], frame["value"], strict=True):
-            if now is None or stamp > now[0]:  # an equal stamp keeps what is there
-                now, fresh = (int(stamp), int(node), value), True
+        if len(frame):
+            top = frame.iloc[int(frame["stamp"].to_numpy().argmax())]  # the first of equal stamps
+            if now is None or top["stamp"] > now[0]:  # an equal stamp keeps what is there
+                now, fresh = (int(top["stamp"]), int(top["node"]), top["value"]), True
     if fresh:
         state.update(now)
         if ttl_ms:

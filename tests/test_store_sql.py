@@ -18,9 +18,9 @@ def engine(spark, tmp_path):
 
 
 @pytest.fixture
-def users(engine):
-    engine.execute("CREATE TABLE users (id INT PRIMARY KEY, name TEXT)")
-    engine.execute("INSERT INTO users VALUES (1, 'alice'); INSERT INTO users VALUES (2, 'bob')")
+def boats(engine):
+    engine.execute("CREATE TABLE boats (hull INT PRIMARY KEY, label TEXT)")
+    engine.execute("INSERT INTO boats VALUES (40, 'heron'), (70, 'osprey')")
     return engine
 
 
@@ -37,43 +37,39 @@ def versions(spark, *data):
     return spark.createDataFrame([(k, v, w, 0, v is None) for k, v, w in data], LOG)
 
 
-def test_statements_of_the_surface(users):
-    assert users.execute("CREATE TABLE other (k TEXT PRIMARY KEY)").message == "OK"
-    assert rows(users, "SELECT * FROM users") == [(1, "alice"), (2, "bob")]
-    assert rows(users, "SELECT * FROM users WHERE id = 1") == [(1, "alice")]
-    assert rows(users, "SELECT * FROM users WHERE id = 99") == []
-    out = users.execute("UPDATE users SET name = 'alice2' WHERE id = 1")
-    assert (out.message, out.rows_affected) == ("UPDATE 1", 1) and rows(users, "SELECT name FROM users WHERE id = 1") == [("alice2",)]
-    assert users.execute("UPDATE users SET name = 'x' WHERE id = 99").message == "UPDATE 0"
-    assert users.execute("DELETE FROM users WHERE id = 1").message == "DELETE 1" and rows(users, "SELECT id FROM users") == [(2,)]
-    assert users.execute("DELETE FROM users WHERE id = 1").message == "DELETE 0"
-    assert users.execute("INSERT INTO users VALUES (2, 'again'), (3, 'c')").message == "INSERT 2"
-    assert rows(users, "SELECT * FROM users") == [(2, "again"), (3, "c")]
-    assert users.execute("").message == "OK" and users.execute(" ; -- nothing\n").message == "OK"
-
-
-def test_tables_are_listed_and_dropped(users):
-    assert users.catalog.list() == ["users"] and users.catalog.get("USERS").key == "id"
-    assert [r["name"] for r in users.execute("SHOW TABLES").rows.collect()] == ["users"]
-    users.execute("DROP TABLE users")
-    assert users.catalog.list() == []
-    with pytest.raises(CatalogError, match="not found"):
-        users.execute("DROP TABLE users")
-    users.execute("CREATE TABLE users (id INT PRIMARY KEY, name TEXT)")
-    assert rows(users, "SELECT * FROM users") == []
-
-
-@pytest.mark.parametrize("sql", ["CREATE TABLE users (id INT PRIMARY KEY)", "CREATE TABLE t (id FLOAT PRIMARY KEY, n TEXT)", "CREATE TABLE t (f BOOL PRIMARY KEY)", "CREATE TABLE t (id INT)", "CREATE TABLE t (a INT PRIMARY KEY, b INT PRIMARY KEY)", "CREATE TABLE t (id INT PRIMARY KEY, d DATE)", "CREATE TABLE t (id INT PRIMARY KEY, CHECK (id > 0))", "CREATE TABLE t (id INT PRIMARY KEY, wall INT)", "CREATE TABLE t (id INT PRIMARY KEY, n TEXT NOT NULL)"])
-def test_rejected_tables(users, sql):
+def test_statements_of_the_surface(boats):
+    assert boats.execute("CREATE TABLE ports (code TEXT PRIMARY KEY)").message == "OK"
+    assert boats.execute("").message == "OK" and boats.execute(" ; -- nothing\n").message == "OK"
+    assert boats.execute("INSERT INTO boats VALUES (70, 'kestrel'), (90, 'plover')").message == "INSERT 2"
+    assert rows(boats, "SELECT * FROM boats") == [(40, "heron"), (70, "kestrel"), (90, "plover")]
+    assert boats.execute("DELETE FROM boats WHERE hull > 80").message == "DELETE 1" and boats.execute("DELETE FROM boats WHERE hull > 80").message == "DELETE 0"
+    out = boats.execute("UPDATE boats SET label = concat(label, '!') WHERE label LIKE '%r%'")
+    assert (out.message, out.rows_affected) == ("UPDATE 2", 2) and boats.execute("UPDATE boats SET label = NULL WHERE hull = 5").message == "UPDATE 0"
+    assert rows(boats, "SELECT label FROM boats WHERE hull = 70") == [("kestrel!",)] and rows(boats, "SELECT * FROM boats WHERE hull = 71") == []
+
+
+def test_tables_are_listed_and_dropped(boats):
+    assert boats.catalog.list() == ["boats"] and boats.catalog.get("BOATS").key == "hull"
+    assert [r["name"] for r in boats.execute("SHOW TABLES").rows.collect()] == ["boats"]
+    boats.execute("DROP TABLE boats")
+    assert boats.catalog.list() == []
+    with pytest.raises(CatalogError, match="no table"):
+        boats.execute("DROP TABLE boats")
+    boats.execute("CREATE TABLE boats (hull INT PRIMARY KEY, label TEXT)")
+    assert rows(boats, "SELECT * FROM boats") == []
+
+
+@pytest.mark.parametrize("sql", ["CREATE TABLE boats (hull INT PRIMARY KEY)", "CREATE TABLE t (id FLOAT PRIMARY KEY, n TEXT)", "CREATE TABLE t (f BOOL PRIMARY KEY)", "CREATE TABLE t (id INT)", "CREATE TABLE t (a INT PRIMARY KEY, b INT PRIMARY KEY)", "CREATE TABLE t (id INT PRIMARY KEY, d DATE)", "CREATE TABLE t (id INT PRIMARY KEY, CHECK (id > 0))", "CREATE TABLE t (id INT PRIMARY KEY, wall INT)", "CREATE TABLE t (id INT PRIMARY KEY, n TEXT NOT NULL)"])
+def test_rejected_tables(boats, sql):
     with pytest.raises((CatalogError, SqlError)):
-        users.execute(sql)
+        boats.execute(sql)
 
 
-@pytest.mark.parametrize("sql", ["INSERT INTO users VALUES (1)", "INSERT INTO users VALUES (5, 'a'), (5, 'b')", "INSERT INTO users VALUES (NULL, 'a')", "INSERT INTO users (name) VALUES ('a')", "INSERT INTO users VALUES ('abc', 'a')", "UPDATE users SET name = 'x'", "UPDATE users SET id = 3 WHERE id = 1", "UPDATE users SET nope = 3 WHERE id = 1", "DELETE FROM users", "TRUNCATE users", "INSERT INTO nope VALUES (1)", "SELECT * FROM users WHERE name = 'x"])
-def test_rejected_statements_change_nothing(users, sql):
+@pytest.mark.parametrize("sql", ["INSERT INTO boats VALUES (1)", "INSERT INTO boats VALUES (5, 'a'), (5, 'b')", "INSERT INTO boats VALUES (NULL, 'a')", "INSERT INTO boats (label) VALUES ('a')", "INSERT INTO boats VALUES ('abc', 'a')", "UPDATE boats SET label = 'x'", "UPDATE boats SET hull = 3 WHERE hull = 40", "UPDATE boats SET nope = 3 WHERE hull = 40", "DELETE FROM boats", "TRUNCATE boats", "INSERT INTO nope VALUES (1)", "SELECT * FROM boats WHERE label = 'x"])
+def test_rejected_statements_change_nothing(boats, sql):
     with pytest.raises(Exception):  # noqa: B017
-        users.execute(sql)
-    assert rows(users, "SELECT * FROM users") == [(1, "alice"), (2, "bob")]
+        boats.execute(sql)
+    assert rows(boats, "SELECT * FROM boats") == [(40, "heron"), (70, "osprey")]
 
 
 def test_types_never_narrow():
@@ -86,28 +82,28 @@ def test_types_never_narrow():
     assert column_type("BOOL") == column_type("BOOLEAN") == T.BooleanType()
 
 
-def test_column_lists_queries_and_expressions(users):
-    users.execute("CREATE TABLE t (k VARCHAR(10) NOT NULL PRIMARY KEY, n BIGINT, f DOUBLE PRECISION, b BOOL)")
-    users.execute("INSERT INTO t (n, k) VALUES (9007199254740993, 'it''s')")
-    assert rows(users, "SELECT k, n, f, b FROM t") == [("it's", 9007199254740993, None, None)]
-    users.execute("INSERT INTO t SELECT name, id, id / 2, id > 1 FROM users")
-    assert users.execute("UPDATE t SET n = n + 1, b = false WHERE n < 10 AND k LIKE 'b%'").message == "UPDATE 1"
-    assert rows(users, "SELECT k, n, f, b FROM t WHERE n < 10") == [("alice", 1, 0.5, False), ("bob", 3, 1.0, False)]
-    assert rows(users, 'SELECT count(*), max(CAST(u.id AS TEXT)) FROM t JOIN users u ON u.name = "k"') == [(2, "2")]
+def test_column_lists_queries_and_expressions(boats):
+    boats.execute("CREATE TABLE t (k VARCHAR(10) NOT NULL PRIMARY KEY, n BIGINT, f DOUBLE PRECISION, b BOOL)")
+    boats.execute("INSERT INTO t (n, k) VALUES (9007199254740993, 'it''s')")
+    assert rows(boats, "SELECT k, n, f, b FROM t") == [("it's", 9007199254740993, None, None)]
+    boats.execute("INSERT INTO t SELECT label, hull / 10, hull / 2, hull > 50 FROM boats")
+    assert boats.execute("UPDATE t SET n = n + 1, b = false WHERE n < 10 AND k LIKE 'o%'").message == "UPDATE 1"
+    assert rows(boats, "SELECT k, n, f, b FROM t WHERE n < 10") == [("heron", 4, 20.0, False), ("osprey", 8, 35.0, False)]
+    assert rows(boats, 'SELECT count(*), max(CAST(u.hull AS TEXT)) FROM t JOIN boats u ON u.label = "k"') == [(2, "70")]
 
 
-def test_queries_as_of_a_time(users):
-    before = users.clock.now()
-    users.execute("UPDATE users SET name = 'new' WHERE id = 1; DELETE FROM users WHERE id = 2; INSERT INTO users VALUES (3, 'c')")
-    assert rows(users, "SELECT * FROM users", as_of=before) == [(1, "alice"), (2, "bob")]
-    assert rows(users, "SELECT * FROM users") == [(1, "new"), (3, "c")]
+def test_queries_as_of_a_time(boats):
+    before = boats.clock.now()
+    boats.execute("UPDATE boats SET label = 'new' WHERE hull = 40; DELETE FROM boats WHERE hull = 70; INSERT INTO boats VALUES (3, 'c')")
+    assert rows(boats, "SELECT * FROM boats", as_of=before) == [(40, "heron"), (70, "osprey")]
+    assert rows(boats, "SELECT * FROM boats") == [(3, "c"), (40, "new")]
     with pytest.raises(SqlError):
-        users.execute("DELETE FROM users WHERE id = 1", as_of=before)
+        boats.execute("DELETE FROM boats WHERE hull = 40", as_of=before)
 
 
-def test_text_output(users):
-    assert users.execute("SELECT id, name FROM users WHERE id = 1").text() == "id | name\n---+------\n1  | alice\n(1 row)"
-    assert users.execute("SELECT id FROM users WHERE id = 7").text().endswith("(0 rows)")
+def test_text_output(boats):
+    assert boats.execute("SELECT hull, label FROM boats WHERE hull = 40").text() == "hull | label\n-----+------\n40   | heron\n(1 row)"
+    assert boats.execute("SELECT hull FROM boats WHERE hull = 7").text().endswith("(0 rows)")
 
 
 def test_dialect():
@@ -121,11 +117,51 @@ def test_compaction_collection_and_vacuum(spark, store):
     reads = {t: sorted((r["key"], r["value"]) for r in store.state((t, 0)).collect()) for t in (1, 2, 3)}
     store.compact(partitions=2)
     assert {t: sorted((r["key"], r["value"]) for r in store.state((t, 0)).collect()) for t in (1, 2, 3)} == reads
-    assert len(store.manifest()["folders"]) == 1 and len(store.vacuum()) == 3
+    assert len(store.manifest()["folders"]) == 1 and store.vacuum() == [] and len(store.vacuum(grace=0)) == 3
     store.collect_garbage((3, 0))
     assert sorted(r["key"] for r in store.log().collect()) == ["k1", "k2", "k3"] and reads[3] == sorted((r["key"], r["value"]) for r in store.state().collect())
 
 
+def test_vacuum_keeps_what_can_be_read_staged_or_pinned(spark, store):
+    store.append(versions(spark, ("a", "1", 1)))
+    files = Files(spark)
+    files.create(f"{store.path}/_manifest/{2:020d}.json", "123\n{\"version\": 2, \"fol")
+    assert store.vacuum(grace=0) == [] and store.state().count() == 1
+    folder, _ = store.stage(versions(spark, ("b", "1", 2)))
+    assert store.vacuum(grace=0) == []
+    store.publish(folder)
+    assert store.state().count() == 2
+    with store.pinned() as log:
+        store.compact()
+        assert store.vacuum(grace=0) == [] and log.count() == 2
+    assert len(store.vacuum(grace=0)) == 2 and store.state().count() == 2
+    for name in files.names(f"{store.path}/_manifest"):
+        files.create(f"{store.path}/_manifest/{name}", "torn", overwrite=True)
+    assert store.vacuum(grace=0) == []  # nothing readable: nothing goes
+
+
+def test_levels_are_merged_when_due(spark, store):
+    for w in range(1, 4):
+        store.append(versions(spark, (f"k{w}", "v", w)))
+    assert store.due() == [] and store.compact_due() == 0
+    store.append(versions(spark, ("k4", "v", 4)))
+    assert store.due() == [0] and store.compact_due() == 1 and store.state().count() == 4
+    seen = store.manifest()
+    assert [seen["levels"].get(f, 0) for f in seen["folders"]] == [1]
+    store.append(versions(spark, ("k5", "v", 5)))
+    assert store.compact_due() == 0 and len(store.manifest()["folders"]) == 2 and store.state().count() == 5
+
+
+def test_rewrites_are_sized_by_bytes(spark, store, monkeypatch):
+    from palimpsest.sources import store as module
+
+    store.append(spark.range(20_000).selectExpr("cast(id AS string) AS key", "sha2(cast(id AS string), 256) AS value", "id + 1 AS wall", "0 AS logical", "false AS tombstone"))
+    monkeypatch.setattr(module, "TARGET_BYTES", 200_000)
+    store.compact()
+    parts = [n for n in Files(spark).names(f"{store.path}/data/{store.manifest()['folders'][0]}") if n.endswith(".parquet")]
+    assert len(parts) > 4 and store.log().count() == 20_000
+
+
 def test_commits_are_compared_and_torn_manifests_skipped(spark, store):
     seen = store.manifest()
     store.append(versions(spark, ("a", "1", 1)))
