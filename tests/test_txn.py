@@ -195,6 +195,26 @@ def test_transactions_over_a_store(spark, tmp_path):
     assert [tuple(r)[:2] for r in store.state().collect()] == [(1, 6)] and store.log().count() == 4
 
 
+def test_another_writer_makes_a_transaction_over_a_store_retry(spark, tmp_path):
+    schema = T.StructType().add("id", "long").add("n", "long").add("wall", "long").add("logical", "integer").add("tombstone", "boolean")
+    store = VersionStore(spark, f"file://{tmp_path}/t", schema, ["id"])
+    m = Manager(StoreBackend(store, ["id", "n"]), Clock(max_offset=0), seed=2)
+    m.run(lambda t: t.put_many({1: {"n": 5}, 2: {"n": 6}}))
+    a, b = m.begin(), m.begin()
+    a.put(1, {"n": 7})
+    b.put(2, {"n": 8})
+    a.commit()
+    b.commit()  # the manager's own commits are no conflict
+    late = m.begin()
+    late.put(1, {"n": 9})
+    store.append(spark.createDataFrame([(3, 1, 1, 0, False)], schema))
+    with pytest.raises(Retry):
+        late.commit()
+    late.abort()
+    m.run(lambda t: t.put(1, {"n": t.get_many([1, 2])[2]["n"]}))
+    assert sorted(tuple(r)[:2] for r in store.state().collect()) == [(1, 8), (2, 8), (3, 1)]
+
+
 KV = "key string, wall long, logical int, tombstone boolean, txn_id long, value string"
 REQUEST = "ordinal int, op string, key string, value string, start string, end string, max_keys int"
 
