@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import hlc
 from .versions import pick
 
 
@@ -46,6 +47,13 @@ def quorum_index(matches: DataFrame, group: str) -> DataFrame:
     return out.select(group, F.expr("element_at(_all, cast(size(_all) div 2 + 1 AS int))").alias("commit_index"), "slowest")
 
 
+def peer_offsets(heartbeats: DataFrame, most: int) -> DataFrame:
+    """Of each peer the clock offset of its last heartbeat (seq, sent, server, rtt), their number, and whether it is healthy."""
+    offset = hlc.clock_offset(F.col("server"), F.col("sent"), F.col("rtt"))
+    out = heartbeats.groupBy("peer").agg(F.max_by(offset, "seq").alias("clock_offset"), F.count("*").alias("heartbeats"))
+    return out.withColumn("healthy", hlc.is_healthy(F.col("clock_offset"), most))
+
+
 def clock_series(readings: DataFrame, wall: str, order: Column | str, group: str) -> DataFrame:
     """The clock's timestamps for each group's wall readings in ``order``: hlc_wall and hlc_logical.
 

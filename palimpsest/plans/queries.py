@@ -7,6 +7,7 @@ event_type is 'error'. Transactions are made of it too: id event_id, priority ev
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,17 +39,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("user_id", hlc.wall_of("ts").alias("wall"), F.col("event_id").cast("int").alias("logical"), (F.col("event_type") == "error").alias("tombstone"), "event_id", "event_type", "value")
+def event_log(spark: SparkSession, sf_dir: str, upto: int | None = None) -> DataFrame:
+    """The log, or what is no later than ``upto`` nanoseconds: a bound on the stored column, so that files are pruned by it."""
+    events = table(spark, sf_dir, "events")
+    if upto is not None:
+        events = events.filter(F.col("ts") <= F.lit(datetime(1970, 1, 1) + timedelta(microseconds=upto // 1000)).cast("timestamp_ntz"))
+    return events.select("user_id", hlc.wall_of("ts").alias("wall"), F.col("event_id").cast("int").alias("logical"), (F.col("event_type") == "error").alias("tombstone"), "event_id", "event_type", "value")
 
 
 def status() -> Column:
     return F.when(F.col("event_type") == "view", "PENDING").when(F.col("event_type") == "error", "ABORTED").otherwise("COMMITTED")
 
 
-def txn_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def txn_log(spark: SparkSession, sf_dir: str, upto: int | None = None) -> DataFrame:
     """The log with views as provisional versions of the transaction event_id; nothing is deleted."""
-    log = event_log(spark, sf_dir)
+    log = event_log(spark, sf_dir, upto)
     return log.withColumn("txn_id", F.when(F.col("event_type") == "view", F.col("event_id"))).withColumn("tombstone", F.lit(False))
 
 
@@ -81,32 +86,27 @@ def text_pk_lookup(spark, sf_dir):
 
 @query(f"WITH {_LOG}, n AS ({_newest(f'wall <= {T0}')}) SELECT user_id, wall, logical, event_type, value FROM n WHERE rn = 1 AND NOT tombstone")
 def as_of_scan(spark, sf_dir):
-    return versions.as_of(event_log(spark, sf_dir), ["user_id"], (T0, ANY)).select("user_id", "wall", "logical", "event_type", "value")
+    return versions.as_of(event_log(spark, sf_dir, T0), ["user_id"], (T0, ANY)).select("user_id", "wall", "logical", "event_type", "value")
 
 
 @query(f"WITH {_LOG}, n AS ({_newest(f'wall <= {T0} AND user_id = 7')}) SELECT user_id, wall, logical, event_type, value FROM n WHERE rn = 1 AND NOT tombstone")
 def as_of_point_get(spark, sf_dir):
-    return versions.get(event_log(spark, sf_dir), ["user_id"], [7], (T0, ANY)).select("user_id", "wall", "logical", "event_type", "value")
+    return versions.get(event_log(spark, sf_dir, T0), ["user_id"], [7], (T0, ANY)).select("user_id", "wall", "logical", "event_type", "value")
 
 
 @query(f"WITH {_LOG}, n AS ({_newest(f'wall <= {T0} AND user_id >= 20 AND user_id < 60')}) SELECT user_id, wall, logical, value FROM n WHERE rn = 1 AND NOT tombstone")
 def range_scan(spark, sf_dir):
-    return versions.scan(event_log(spark, sf_dir), "user_id", (T0, ANY), 20, 60).select("user_id", "wall", "logical", "value")
+    return versions.scan(event_log(spark, sf_dir, T0), "user_id", (T0, ANY), 20, 60).select("user_id", "wall", "logical", "value")
 
 
 @query(f"WITH {_LOG}, n AS ({_newest(f'wall <= {T0} AND user_id >= 20')}) SELECT user_id, wall, logical, value FROM n WHERE rn = 1 AND NOT tombstone ORDER BY user_id LIMIT 10")
 def range_scan_max_keys(spark, sf_dir):
-    return versions.scan(event_log(spark, sf_dir), "user_id", (T0, ANY), 20, None, 10).select("user_id", "wall", "logical", "value")
-
-
-@query(f"WITH {_LOG}, n AS ({_newest(f'wall <= {T0}')}) SELECT user_id, wall, value FROM n WHERE rn = 1 AND NOT tombstone ORDER BY user_id DESC LIMIT 5")
-def reverse_scan(spark, sf_dir):
-    return versions.scan_back(event_log(spark, sf_dir), "user_id", (T0, ANY)).limit(5).select("user_id", "wall", "value")
+    return versions.scan(event_log(spark, sf_dir, T0), "user_id", (T0, ANY), 20, None, 10).select("user_id", "wall", "logical", "value")
 
 
 @query(f"WITH {_LOG}, n AS ({_newest(f'wall <= {T0}')}) SELECT user_id, wall, value FROM n WHERE rn = 1 AND NOT tombstone ORDER BY user_id DESC")
-def reverse_scan_all(spark, sf_dir):
-    return versions.scan_back(event_log(spark, sf_dir), "user_id", (T0, ANY)).select("user_id", "wall", "value")
+def reverse_scan(spark, sf_dir):
+    return versions.scan_back(event_log(spark, sf_dir, T0), "user_id", (T0, ANY)).select("user_id", "wall", "value")
 
 
 _TIMES = [(T_EARLY, ANY), (T0, ANY), (T_LATE, ANY)]
@@ -114,7 +114,7 @@ _TIMES = [(T_EARLY, ANY), (T0, ANY), (T_LATE, ANY)]
 
 @query(f"WITH {_LOG}, t(at_wall) AS (VALUES ({T_EARLY}), ({T0}), ({T_LATE})), j AS (SELECT at_wall, log.* FROM log JOIN t ON wall <= at_wall), n AS ({_newest('true', 'at_wall, user_id', 'j')}) SELECT at_wall, user_id, wall, logical, value FROM n WHERE rn = 1 AND NOT tombstone")
 def as_of_multi_t(spark, sf_dir):
-    return versions.as_of_each(event_log(spark, sf_dir), ["user_id"], _TIMES).select("at_wall", "user_id", "wall", "logical", "value")
+    return versions.as_of_each(event_log(spark, sf_dir, T_LATE), ["user_id"], _TIMES).select("at_wall", "user_id", "wall", "logical", "value")
 
 
 @query(f"WITH {_LOG}, n AS ({_newest('true')}) SELECT user_id, max(CASE WHEN rn = 1 THEN wall END) AS wall, max(CASE WHEN rn = 1 THEN logical END) AS logical, bool_or(CASE WHEN rn = 1 THEN tombstone END) AS deleted, max(CASE WHEN rn = 1 THEN length(event_type) END) AS value_bytes, count(*) AS versions FROM n GROUP BY user_id")
@@ -131,7 +131,7 @@ def version_history(spark, sf_dir):
 def kv_get_many(spark, sf_dir):
     log = event_log(spark, sf_dir)
     asked = log.select((F.col("user_id") + 5).alias("user_id")).distinct()
-    state = versions.as_of(log, ["user_id"], (T0, ANY)).select("user_id", "value", F.lit(True).alias("found"))
+    state = versions.as_of(event_log(spark, sf_dir, T0), ["user_id"], (T0, ANY)).select("user_id", "value", F.lit(True).alias("found"))
     return asked.join(state, "user_id", "left").select("user_id", "value", F.coalesce("found", F.lit(False)).alias("found"))
 
 
@@ -144,20 +144,11 @@ def inline_values(spark, sf_dir):
 # writes
 
 
-@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders UNION ALL SELECT 10000000 + c_custkey, c_custkey, c_acctbal FROM customer WHERE c_custkey <= 100")
-def insert_upsert(spark, sf_dir):
-    return _upserted(spark, sf_dir, "c_custkey <= 100")
-
-
 @query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders UNION ALL SELECT 10000000 + c_custkey, c_custkey, c_acctbal FROM customer")
-def insert_upsert_all(spark, sf_dir):
-    return _upserted(spark, sf_dir, "true")
-
-
-def _upserted(spark, sf_dir, inserted):
+def insert_upsert(spark, sf_dir):
     base = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.lit(1).cast("long").alias("wall"), F.lit(0).alias("logical"), F.lit(False).alias("tombstone"))
     changed = base.filter("o_orderkey % 10 = 0").withColumns({"o_totalprice": F.col("o_totalprice") + 1, "wall": F.lit(2).cast("long")})
-    fresh = table(spark, sf_dir, "customer").filter(inserted).select((F.col("c_custkey") + 10_000_000).alias("o_orderkey"), F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("o_totalprice"), F.lit(2).cast("long").alias("wall"), F.lit(0).alias("logical"), F.lit(False).alias("tombstone"))
+    fresh = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 10_000_000).alias("o_orderkey"), F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("o_totalprice"), F.lit(2).cast("long").alias("wall"), F.lit(0).alias("logical"), F.lit(False).alias("tombstone"))
     log = versions.upsert(versions.upsert(base, changed), fresh)
     return versions.latest(log, ["o_orderkey"]).select("o_orderkey", "o_custkey", "o_totalprice")
 
@@ -178,8 +169,8 @@ def delete_by_pk(spark, sf_dir):
 
 @query(f"WITH {_LOG}, b AS ({_newest(f'wall <= {T_EARLY}')}), a AS ({_newest(f'wall <= {T_LATE}')}) SELECT b.user_id, b.wall AS live_wall, a.wall AS deleted_wall FROM b JOIN a USING (user_id) WHERE b.rn = 1 AND a.rn = 1 AND NOT b.tombstone AND a.tombstone")
 def delete_tombstones(spark, sf_dir):
-    log = event_log(spark, sf_dir)
-    before = versions.as_of(log, ["user_id"], (T_EARLY, ANY)).select("user_id", F.col("wall").alias("live_wall"))
+    log = event_log(spark, sf_dir, T_LATE)
+    before = versions.as_of(event_log(spark, sf_dir, T_EARLY), ["user_id"], (T_EARLY, ANY)).select("user_id", F.col("wall").alias("live_wall"))
     after = versions.as_of(log, ["user_id"], (T_LATE, ANY), tombstones=True).filter("tombstone").select("user_id", F.col("wall").alias("deleted_wall"))
     return before.join(after, "user_id")
 
@@ -187,43 +178,23 @@ def delete_tombstones(spark, sf_dir):
 # conflicts
 
 
-def _all_proposals(log: DataFrame) -> DataFrame:
-    return log.select("user_id", "event_id", "wall", F.lit(0).alias("logical"), F.col("event_id").alias("txn_id"))
-
-
 def _proposals(log: DataFrame) -> DataFrame:
-    return _all_proposals(log.filter("event_id % 50 = 0"))
+    return log.select("user_id", "event_id", "wall", F.lit(0).alias("logical"), F.col("event_id").alias("txn_id"))
 
 
-@query(f"WITH {_LOG}, m AS (SELECT user_id, max(wall) AS w FROM log WHERE wall <= {T0} GROUP BY user_id) SELECT event_id, p.user_id, CASE WHEN p.wall <= m.w THEN 'write_too_old' ELSE 'ok' END AS outcome, CASE WHEN p.wall <= m.w THEN m.w ELSE 0 END AS existing_wall FROM log p LEFT JOIN m USING (user_id) WHERE event_id % 50 = 0")
+@query(f"WITH {_LOG}, m AS (SELECT user_id, max(wall) AS w FROM log WHERE wall <= {T0} GROUP BY user_id) SELECT event_id, p.user_id, CASE WHEN p.wall <= m.w THEN 'write_too_old' ELSE 'ok' END AS outcome, CASE WHEN p.wall <= m.w THEN m.w ELSE 0 END AS existing_wall FROM log p LEFT JOIN m USING (user_id)")
 def write_too_old(spark, sf_dir):
     log = event_log(spark, sf_dir)
     known = log.filter(F.col("wall") <= T0).withColumn("txn_id", F.lit(None).cast("long"))
     return conflicts.classify_writes(_proposals(log), known, ["user_id"]).select("event_id", "user_id", "outcome", F.coalesce("existing_wall", F.lit(0)).alias("existing_wall"))
 
 
-@query(f"WITH {_LOG}, i AS (SELECT user_id, wall AS iw, event_id AS holder FROM ({_newest(chr(39).join(['event_type = ', 'view', '']))}) WHERE rn = 1), m AS (SELECT user_id, max(struct_pack(w := wall, l := logical)) AS n FROM log GROUP BY user_id) SELECT p.event_id, p.user_id, CASE WHEN i.holder IS NOT NULL AND i.holder <> p.event_id THEN 'write_intent' WHEN i.holder IS NULL AND (p.wall < m.n.w OR p.wall = m.n.w AND 0 <= m.n.l) THEN 'write_too_old' ELSE 'ok' END AS outcome, CASE WHEN i.holder IS NOT NULL AND i.holder <> p.event_id THEN i.iw WHEN i.holder IS NULL AND (p.wall < m.n.w OR p.wall = m.n.w AND 0 <= m.n.l) THEN m.n.w ELSE 0 END AS existing_wall FROM log p LEFT JOIN i USING (user_id) LEFT JOIN m USING (user_id) WHERE p.event_id % 50 = 0")
+@query(f"WITH {_LOG}, i AS (SELECT user_id, wall AS iw, event_id AS holder FROM ({_newest(chr(39).join(['event_type = ', 'view', '']))}) WHERE rn = 1), m AS (SELECT user_id, max(struct_pack(w := wall, l := logical)) AS n FROM log GROUP BY user_id), c AS (SELECT p.event_id, p.user_id, i.iw, m.n.w AS nw, i.holder <> p.event_id AS held, i.holder IS NULL AND (p.wall < m.n.w OR p.wall = m.n.w AND 0 <= m.n.l) AS old FROM log p LEFT JOIN i USING (user_id) LEFT JOIN m USING (user_id)) SELECT event_id, user_id, CASE WHEN held THEN 'write_intent' WHEN old THEN 'write_too_old' ELSE 'ok' END AS outcome, CASE WHEN held THEN iw WHEN old THEN nw ELSE 0 END AS existing_wall FROM c")
 def write_intent_conflict(spark, sf_dir):
     log = txn_log(spark, sf_dir)
     return conflicts.classify_writes(_proposals(log), log, ["user_id"]).select("event_id", "user_id", "outcome", F.coalesce("existing_wall", F.lit(0)).alias("existing_wall"))
 
 
-# the same over every event: the texts above hold for a fiftieth
-
-
-@query(f"WITH {_LOG}, m AS (SELECT user_id, max(wall) AS w FROM log WHERE wall <= {T0} GROUP BY user_id) SELECT event_id, p.user_id, CASE WHEN p.wall <= m.w THEN 'write_too_old' ELSE 'ok' END AS outcome, CASE WHEN p.wall <= m.w THEN m.w ELSE 0 END AS existing_wall FROM log p LEFT JOIN m USING (user_id)")
-def write_too_old_all(spark, sf_dir):
-    log = event_log(spark, sf_dir)
-    known = log.filter(F.col("wall") <= T0).withColumn("txn_id", F.lit(None).cast("long"))
-    return conflicts.classify_writes(_all_proposals(log), known, ["user_id"]).select("event_id", "user_id", "outcome", F.coalesce("existing_wall", F.lit(0)).alias("existing_wall"))
-
-
-@query(f"WITH {_LOG}, i AS (SELECT user_id, wall AS iw, event_id AS holder FROM ({_newest(chr(39).join(['event_type = ', 'view', '']))}) WHERE rn = 1), m AS (SELECT user_id, max(struct_pack(w := wall, l := logical)) AS n FROM log GROUP BY user_id), c AS (SELECT p.event_id, p.user_id, i.iw, m.n.w AS nw, i.holder <> p.event_id AS held, i.holder IS NULL AND (p.wall < m.n.w OR p.wall = m.n.w AND 0 <= m.n.l) AS old FROM log p LEFT JOIN i USING (user_id) LEFT JOIN m USING (user_id)) SELECT event_id, user_id, CASE WHEN held THEN 'write_intent' WHEN old THEN 'write_too_old' ELSE 'ok' END AS outcome, CASE WHEN held THEN iw WHEN old THEN nw ELSE 0 END AS existing_wall FROM c")
-def write_intent_conflict_all(spark, sf_dir):
-    log = txn_log(spark, sf_dir)
-    return conflicts.classify_writes(_all_proposals(log), log, ["user_id"]).select("event_id", "user_id", "outcome", F.coalesce("existing_wall", F.lit(0)).alias("existing_wall"))
-
-
 @query(f"WITH {_LOG} SELECT user_id, max(wall) AS wall FROM log GROUP BY user_id HAVING max(wall) > {T_LATE} AND max(wall) <= {T_LATE + 7 * DAY}")
 def uncertainty_window(spark, sf_dir):
     return conflicts.uncertain(event_log(spark, sf_dir), ["user_id"], (T_LATE, ANY), (T_LATE + 7 * DAY, ANY)).select("user_id", "wall")
@@ -231,7 +202,7 @@ def uncertainty_window(spark, sf_dir):
 
 @query(f"WITH {_LOG} SELECT user_id, arg_max(event_id, struct_pack(w := wall, l := logical)) AS txn_id, max(wall) AS wall FROM log WHERE event_type = 'view' AND wall <= {T_EARLY} GROUP BY user_id")
 def read_blocked_by_intent(spark, sf_dir):
-    return conflicts.blocked(txn_log(spark, sf_dir), ["user_id"], (T_EARLY, ANY)).select("user_id", "txn_id", "wall")
+    return conflicts.blocked(txn_log(spark, sf_dir, T_EARLY), ["user_id"], (T_EARLY, ANY)).select("user_id", "txn_id", "wall")
 
 
 @query(f"WITH {_LOG}, r AS (SELECT user_id, max(struct_pack(w := wall, l := logical)) AS t FROM log WHERE event_type = 'view' GROUP BY user_id), p AS (SELECT event_id, user_id, wall, t FROM log LEFT JOIN r USING (user_id) WHERE event_type = 'purchase') SELECT event_id, user_id, coalesce(wall < t.w OR wall = t.w AND 0 <= t.l, false) AS pushed, CASE WHEN wall < t.w OR wall = t.w AND 0 <= t.l THEN t.w ELSE wall END AS wall, CASE WHEN wall < t.w OR wall = t.w AND 0 <= t.l THEN t.l + 1 ELSE 0 END AS logical FROM p")
@@ -388,14 +359,8 @@ def clock_offset(spark, sf_dir):
     return rows.select("event_id", offset.alias("clock_offset"), F.expr("rtt div 2").alias("uncertainty"), hlc.is_healthy(offset, 500_000_000).alias("healthy"))
 
 
-@query("SELECT user_id AS range_id, list_sort(list(event_id % 100), 'DESC')[len(list(event_id)) // 2 + 1] AS commit_index, min(event_id % 100) AS slowest FROM events WHERE event_id % 20 = 0 GROUP BY user_id")
-def quorum_commit_index(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").filter("event_id % 20 = 0").select(F.col("user_id").alias("range_id"), (F.col("event_id") % 100).alias("match_index"))
-    return spread.quorum_index(rows, "range_id")
-
-
 @query("SELECT user_id AS range_id, list_sort(list(event_id % 100), 'DESC')[len(list(event_id)) // 2 + 1] AS commit_index, min(event_id % 100) AS slowest FROM events GROUP BY user_id")
-def quorum_commit_index_all(spark, sf_dir):
+def quorum_commit_index(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("range_id"), (F.col("event_id") % 100).alias("match_index"))
     return spread.quorum_index(rows, "range_id")
 
@@ -411,7 +376,7 @@ def bank_transfer_balances(spark, sf_dir):
 
 
 def _views(spark, sf_dir):
-    versions.as_of(event_log(spark, sf_dir), ["user_id"], (T0, ANY)).createOrReplaceTempView("palimpsest_events")
+    versions.as_of(event_log(spark, sf_dir, T0), ["user_id"], (T0, ANY)).createOrReplaceTempView("palimpsest_events")
     for name in ("orders", "customer", "nation", "region", "lineitem"):
         table(spark, sf_dir, name).createOrReplaceTempView(f"palimpsest_{name}")
 
