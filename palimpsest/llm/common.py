@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import scratch
+
 #: Bits of the key filter: 2^26 bits in at most 2,048 rows of 4 KiB, so 8 MiB whatever the number of keys.
 FILTER_BITS = 1 << 26
 _PAGE_BITS = 1 << 15
@@ -16,21 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local default is set only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file:///tmp/palimpsest-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage is cut, lost executors lose nothing."""
+    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage is cut, lost executors lose nothing.
+
+    The table stays until release() is called (see sources.files), as results are read lazily.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/palimpsest/{uuid.uuid4().hex}/{name}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -81,12 +73,17 @@ def pass_filter(df: DataFrame, bitmap: DataFrame, key: Column, how: str = "keep"
     return marked if how == "mark" else marked.filter("_maybe").drop("_maybe")
 
 
-def label_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int, left_out: int, most: int, **more: Column):
+#: Characters of text that a label sample may bring to the driver.
+SAMPLE_CHARS = 96 << 20
+
+
+def label_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int, left_out: int, most: int, chars: int = SAMPLE_CHARS, **more: Column):
     """Texts and labels of at most ``most`` labelled documents outside the held-out fold, as a pandas frame.
 
-    The bound is the documented parameter of the trained operators; ids are drawn by hash, so the draw does not
-    depend on order. Conflicting labels of one document count as their maximum; null labels are skipped. ``more``:
-    further columns of ``docs`` by name.
+    The bounds are documented parameters of the trained operators: ``most`` documents, in the order of a hash of their
+    ids, as long as their whole texts together have at most ``chars`` characters. Conflicting labels of one document
+    count as their maximum; null labels are skipped; of several texts of one doc_id the least counts. ``more``: further
+    columns of ``docs`` by name.
     """
     ids = (
         labels.select(labels["doc_id"].alias("_id"), labels[label].cast("int").alias("label"))
@@ -97,5 +94,9 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int, l
     )
     texts = docs.select(docs["doc_id"].alias("_doc"), F.coalesce(docs["text"], F.lit("")).alias("text"), *(c.alias(k) for k, c in more.items()))
     # at most ``most`` ids and labels are broadcast
-    joined = texts.join(F.broadcast(ids), F.col("_doc") == F.col("_id")).select("_id", "text", "label", *more)
-    return joined.toPandas().drop_duplicates("_id").sort_values("_id", ignore_index=True)
+    drawn = stored(texts.join(F.broadcast(ids), F.col("_doc") == F.col("_id")).select("_id", "text", "label", *more), "sample")
+    so_far = Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, 0)  # ``most`` small rows
+    sizes = drawn.groupBy("_id").agg(F.max(F.length("text")).alias("n"))
+    fits = sizes.withColumn("_sum", F.sum("n").over(so_far)).filter(F.col("_sum") <= chars).select(F.col("_id").alias("_fit"))
+    found = drawn.join(fits, F.col("_id") == F.col("_fit")).select("_id", "text", "label", *more).toPandas()
+    return found.sort_values(["_id", "text"], ignore_index=True).drop_duplicates("_id", ignore_index=True)

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from palimpsest.llm import common, textnp
+from palimpsest.sources import files
 
 TEXTS = st.lists(st.text(alphabet=st.sampled_from("abAB é\n\t\x0b\x1f x"), max_size=30), max_size=8)
 
@@ -72,9 +73,9 @@ def test_remainder_matches_crc32(rows):
 
 
 def test_shared_folder_comes_from_the_session(spark):
-    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    assert files.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     df = common.stored(spark.range(5), "t")
-    assert df.count() == 5 and df.inputFiles()[0].startswith(common.shared_dir(spark).replace("file://", "file://"))
+    assert df.count() == 5 and df.inputFiles()[0].startswith(files.shared_dir(spark).replace("file://", "file://"))
 
 
 def test_components(spark, rows):
