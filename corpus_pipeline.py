@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import bpe, line_dedup, mixing, near_dup, quality_rules
-from palimpsest.llm.common import stored, table
+from palimpsest.llm.common import table
 from palimpsest.llm.queries import vocabulary_path
+from palimpsest.sources import files
 
 #: The mix fills its targets from up to two epochs; the budget is as many words as come in.
 MIX = mixing.Mix(percent=100, max_epochs=2)
@@ -48,9 +49,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"stage{k}")
-    return docs
+    """The stages in order over documents. When a stage's result, or a failure, is there, all tables before it go."""
+    docs, since, kept = table(spark, sf_dir, "documents"), files.mark(), ()
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        try:
+            out, path = stage(spark, docs, sf_dir), files.scratch(spark, f"stage{k}")
+            out.write.parquet(path)
+            docs, kept = spark.read.schema(out.schema).parquet(path), (path,)
+        except BaseException:
+            kept = ()
+            raise
+        finally:
+            files.release(spark, since, but=kept)
+    return STAGES[-1][1](spark, docs, sf_dir)
