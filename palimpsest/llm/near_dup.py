@@ -196,41 +196,70 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Documents are linked if 100 * shared shingles >= percent * all shingles of both, over whole texts with A-Z
     lower-cased. component_id is the least doc_id that links reach, kept whether it is the document's own. A document
     of fewer than ``width`` words is one shingle; a null or empty text, or one without words, links with nothing.
-    Rows of one doc_id share a component; a null doc_id has a null component and is kept. Extra columns are not read;
-    an empty table gives an empty one. Links are confirmed on full sets of 64-bit shingle hashes; a pair at the
-    threshold shares a bucket with probability 1 - 5e-8, and one that shares none is still met in a common family.
+    Rows of one doc_id are one document, whatever their texts, and share a component; a null doc_id has a null component
+    and is kept. Texts of any length are read whole; extra columns are not read; an empty table gives an empty one.
+    Links are confirmed on full sets of 64-bit shingle hashes, not on the shingles' bytes; a pair at the threshold
+    shares a bucket with probability 1 - 5e-8, and one that shares none is still met in a common family.
     """
     part = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     signed = stored(_signed(part, width), "signatures")
-    classes = stored(signed.filter("mark IS NOT NULL AND doc_id IS NOT NULL").groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "classes")
+    known = signed.filter("mark IS NOT NULL AND doc_id IS NOT NULL")
+    # classes have numbers of their own: one doc_id with several texts may be the least of several classes
+    classes = known.groupBy("mark").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     buckets = classes.select("rep", F.explode("keys").alias("bucket"))
     centres = buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).filter("centre < last").select(F.col("bucket").alias("_bucket"), "centre")
     pairs = stored(buckets.join(centres, F.col("bucket") == F.col("_bucket")).filter("rep <> centre").select("centre", "rep").distinct(), "pairs")
     wanted = pairs.select("rep").union(pairs.select("centre")).distinct()
-    wanted = stored(classes.select("mark", F.col("rep").alias("_rep")).join(wanted, F.col("_rep") == F.col("rep")).select("mark", "rep"), "wanted")
-    near = _sets(pass_filter(part, key_filter(wanted, "rep"), F.col("doc_id")), width)
-    sets = stored(near.join(wanted, (F.col("_id") == F.col("rep")) & (F.col("_mark") == F.col("mark"))).select("_id", "_set").dropDuplicates(["_id"]), "sets")
+    wanted = stored(classes.select("mark", "least", F.col("rep").alias("_rep")).join(wanted, F.col("_rep") == F.col("rep")).select("mark", "least", "rep"), "wanted")
+    near = _sets(pass_filter(part, key_filter(wanted, "least"), F.col("doc_id")), width)
+    near = near.join(wanted, (F.col("_id") == F.col("least")) & (F.col("_mark") == F.col("mark"))).select(F.col("rep").alias("_id"), "_set")
+    sets = stored(near.dropDuplicates(["_id"]), "sets")  # repeated rows have equal sets
     links = stored(_compared(pairs, sets).filter(_linked(F.col("common"), F.col("all"), percent)).select(F.col("centre").alias("a"), F.col("rep").alias("b")), "links")
+    same = _same_document(known, classes)
+    links = links if same is None else links.union(same)
     labels = components(links)
     families = components(pairs.select(F.col("centre").alias("a"), F.col("rep").alias("b"))).select(F.col("node").alias("rep"), F.col("label").alias("family"))
     families = families.join(labels.withColumnRenamed("label", "_label"), F.col("rep") == F.col("node"), "left").select("rep", "family", F.coalesce("_label", "rep").alias("label"))
     rest = stored(_rest(stored(families, "families"), sets, percent), "rest")
     if not rest.isEmpty():
         labels = components(links.union(rest))
-    final = classes.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("mark").alias("_mark"), F.coalesce("label", "rep").alias("component"))
-    out = signed.join(final, F.col("mark") == F.col("_mark"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    same = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-    return same.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    of_label = classes.join(labels, F.col("rep") == F.col("node")).groupBy("label").agg(F.min("least").alias("component")).withColumnRenamed("label", "_label")
+    named = labels.join(of_label, F.col("label") == F.col("_label")).select("node", "component")
+    final = classes.join(named, F.col("rep") == F.col("node"), "left").select(F.col("mark").alias("_mark"), F.coalesce("component", "least").alias("component"))
+    out = signed.join(final, F.col("mark") == F.col("_mark"), "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _same_document(known: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links between the classes of doc_ids that have several texts: a, b. None where there is no such doc_id."""
+    several = known.groupBy("doc_id").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).filter("lo < hi")
+    several = stored(several.select(F.col("doc_id").alias("_several"), "lo"), "several")
+    if several.isEmpty():
+        return None
+    own = classes.select("mark", "rep")
+    rows = known.select("doc_id", "mark").join(several, F.col("doc_id") == F.col("_several")).filter("mark > lo").select("lo", "mark").distinct()
+    rows = rows.join(own.select(F.col("mark").alias("_lo"), F.col("rep").alias("a")), F.col("lo") == F.col("_lo"))
+    return stored(rows.join(own.withColumnRenamed("mark", "_m"), F.col("mark") == F.col("_m")).select("a", F.col("rep").alias("b")), "same")
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that near_duplicates() keeps, with all their columns, whatever their names."""
-    gone = stored(near_duplicates(docs, width, percent).filter("NOT kept").select("doc_id").distinct(), "gone")
-    inner, back = guarded(docs, "doc_id")
-    marked = pass_filter(inner, key_filter(gone, "doc_id"), inner["doc_id"].cast("long"), "mark")
-    sure, asked = (marked.filter(f"{no} _maybe").drop("_maybe") for no in ("NOT", ""))
-    gone = gone.select(F.col("doc_id").alias("_gone"))
-    return back(sure.unionAll(asked.join(gone, asked["doc_id"].cast("long") == gone["_gone"], "left_anti")))
+    """One row of each group of near_duplicates(), with all columns of ``docs``, whatever their names.
+
+    Of several rows of a kept doc_id the one with the least text stays (then the least hash of the row). Rows with a
+    null doc_id stay; texts without words are in groups of their own.
+    """
+    found = stored(near_duplicates(docs, width, percent).select("doc_id", "kept"), "verdicts")
+    asked = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("kept").alias("kept")).filter("doc_id IS NOT NULL AND (rows > 1 OR NOT kept)")
+    asked = stored(asked.select(F.col("doc_id").alias("_asked"), "kept"), "asked")
+    inner, back = guarded(docs, "doc_id", "text")
+    marked = pass_filter(inner, key_filter(asked, "_asked"), inner["doc_id"].cast("long"), "mark")
+    sure, some = (marked.filter(f"{no} _maybe").drop("_maybe") for no in ("NOT", ""))
+    some = some.join(asked, some["doc_id"].cast("long") == asked["_asked"], "left")
+    alone = some.filter("_asked IS NULL").select(*inner.columns)
+    one = some.filter("kept").select("_asked", F.struct(*inner.columns).alias("_row"), F.struct(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(*inner.columns).alias("h")).alias("_order"))
+    one = one.groupBy("_asked").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")
+    return back(sure.unionAll(alone).unionAll(one))
 
 
 def sql(width: int, percent: int) -> str:

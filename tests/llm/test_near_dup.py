@@ -100,3 +100,12 @@ def test_block_links_join_labels_once():
     t = np.arange(100, 110, dtype=np.uint64).tobytes()
     frame = pd.DataFrame({"label": [1, 2, 3, 4], "probe": [False, True, True, True], "target": [True] * 4, "_set": [s, s, s, t]})
     assert len(near_dup._block_links(frame, 80)) == 2
+
+
+def test_a_doc_id_with_several_texts_is_one_document(spark):
+    words = lambda seed: " ".join(f"{seed}{k}" for k in range(40))
+    rows = [(1, words("a")), (2, words("b")), (3, words("a")), (3, words("b")), (4, words("c")), (4, words("c")), (5, words("d"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [(r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(docs).collect()]
+    assert sorted(out) == [(1, 1, True), (2, 1, False), (3, 1, False), (3, 1, False), (4, 4, True), (4, 4, True), (5, 5, True)]
+    assert sorted(tuple(r) for r in near_dup.keep_one(docs).collect()) == [(1, words("a")), (4, words("c")), (5, words("d"))]
