@@ -62,9 +62,11 @@ def _fill(nodes: DataFrame, parent: list[str], name: str, weight: Column) -> Dat
     order = group.orderBy(F.col("cap") / F.col("w"), F.col(name))
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     out = nodes.withColumn("w", weight).withColumn("left", F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0))).withColumn("ws", F.sum("w").over(after)).withColumn("rank", F.row_number().over(order))
-    out = out.withColumn("full", F.col("cap") * F.col("ws") <= F.col("left") * F.col("w"))
+    # products of tokens and weights may pass 64 bits
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    out = out.withColumn("full", wide("cap") * wide("ws") <= wide("left") * wide("w"))
     out = out.withColumn("level", F.min(F.when(~F.col("full"), F.struct("rank", "left", "ws"))).over(group))
-    return out.withColumn("given", F.when(F.col("full"), F.col("cap")).otherwise(F.expr("level.left * w div level.ws"))).drop("w", "left", "ws", "rank", "full", "level")
+    return out.withColumn("given", F.when(F.col("full"), F.col("cap")).otherwise(F.expr("cast(level.left AS decimal(19,0)) * cast(w AS decimal(19,0)) div level.ws"))).drop("w", "left", "ws", "rank", "full", "level")
 
 
 def budgets(docs: DataFrame, mix: Mix) -> DataFrame:
@@ -89,27 +91,43 @@ def _budgets(prepared: DataFrame, mix: Mix) -> DataFrame:
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """``docs`` as chosen, a row for each epoch that has the document, with _m_domain, _m_tokens and _m_epoch.
 
-    Leaves and cells are small tables, joined as Spark's own size checks allow; texts are shuffled only in the cells
-    in which prefixes end. Hot leaves have as many cells as their documents need, so no leaf is ordered in one task.
+    Words are counted once for a stored table without texts, from which budgets and cells come, and once more for the
+    rows themselves.
     """
     part = _prepared(docs, mix)
-    plan = stored(_budgets(part, mix), "plan")
-    rule = plan.select(*(F.col(c).alias(f"_r{c}") for c in _KEYS), F.expr("CASE WHEN available > 0 THEN given div available ELSE 0 END").alias("_m_whole"), F.expr("CASE WHEN available > 0 THEN given % available ELSE 0 END").alias("_m_rest"), F.ceil(F.sqrt(F.col("n_docs")) * CELLS).alias("_m_cells"))
+    return _chosen(part, _light(part), mix).select(*docs.columns, "_m_domain", "_m_tokens", "_m_epoch")
+
+
+def _light(prepared: DataFrame) -> DataFrame:
+    """Ids, leaves and word counts, without texts, stored."""
+    return stored(prepared.select("doc_id", "lang", "source", *_KEYS, "_m_tokens"), "word_counts")
+
+
+def _ordered(part: DataFrame, rule: DataFrame, mix: Mix) -> DataFrame:
+    """Adds the leaf's whole epochs and rest, and each row's place and cell in the epoch that is taken in part."""
     rows = part.join(rule, [F.col(c) == F.col(f"_r{c}") for c in _KEYS]).drop(*(f"_r{c}" for c in _KEYS))
-    # the order of the epoch that is taken in part
     rows = rows.withColumn("_m_order", F.expr(f"md5(cast(concat_ws(':', '{mix.seed}', _m_whole + 1, coalesce(cast(doc_id AS string), '')) AS binary))"))
-    rows = rows.withColumn("_m_cell", F.expr("cast(conv(substring(_m_order, 1, 8), 16, 10) AS bigint) * _m_cells div 4294967296"))
+    return rows.withColumn("_m_cell", F.expr("cast(conv(substring(_m_order, 1, 8), 16, 10) AS bigint) * _m_cells div 4294967296"))
+
+
+def _chosen(part: DataFrame, light: DataFrame, mix: Mix) -> DataFrame:
+    """Rows of ``part`` by epoch, as budgets and cells over ``light`` say.
+
+    Leaves and cells are small tables, joined as Spark's own size checks allow; texts are shuffled only in the cells
+    in which prefixes end. Hot leaves have as many cells as their documents need, so no leaf is ordered in one task.
+    """
+    plan = stored(_budgets(light, mix), "plan")
+    rule = plan.select(*(F.col(c).alias(f"_r{c}") for c in _KEYS), F.expr("CASE WHEN available > 0 THEN given div available ELSE 0 END").alias("_m_whole"), F.expr("CASE WHEN available > 0 THEN given % available ELSE 0 END").alias("_m_rest"), F.ceil(F.sqrt(F.col("n_docs")) * CELLS).alias("_m_cells"))
     leaf = Window.partitionBy(*_KEYS).orderBy("_m_cell").rowsBetween(Window.unboundedPreceding, 0)
-    cells = rows.groupBy(*_KEYS, "_m_cell", "_m_rest").agg(F.sum("_m_tokens").alias("own")).withColumn("upto", F.sum("own").over(leaf))
+    cells = _ordered(light, rule, mix).groupBy(*_KEYS, "_m_cell", "_m_rest").agg(F.sum("_m_tokens").alias("own")).withColumn("upto", F.sum("own").over(leaf))
     state = F.expr("CASE WHEN upto <= _m_rest THEN 1 WHEN upto - own <= _m_rest THEN 2 ELSE 0 END")
     cells = stored(cells.select(*(F.col(c).alias(f"_c{c}") for c in [*_KEYS, "_m_cell"]), state.alias("_m_state"), (F.col("upto") - F.col("own")).alias("_m_before")), "cells")
-    rows = rows.join(cells, [F.col(c) == F.col(f"_c{c}") for c in [*_KEYS, "_m_cell"]]).drop(*(f"_c{c}" for c in [*_KEYS, "_m_cell"]))
+    rows = _ordered(part, rule, mix).join(cells, [F.col(c) == F.col(f"_c{c}") for c in [*_KEYS, "_m_cell"]]).drop(*(f"_c{c}" for c in [*_KEYS, "_m_cell"]))
     inside = Window.partitionBy(*_KEYS, "_m_cell").orderBy("_m_order", "doc_id", "_m_tokens").rowsBetween(Window.unboundedPreceding, 0)
     part_cell = rows.filter("_m_state = 2").withColumn("_m_sum", F.col("_m_before") + F.sum("_m_tokens").over(inside)).withColumn("_m_state", F.expr("CASE WHEN _m_sum <= _m_rest THEN 1 ELSE 0 END")).drop("_m_sum")
     chosen = rows.filter("_m_state <> 2").unionAll(part_cell)
     chosen = chosen.withColumn("_m_times", F.expr("_m_whole + CASE WHEN _m_rest > 0 THEN _m_state ELSE 0 END")).filter("_m_times > 0")
-    out = chosen.withColumn("_m_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m_times"))))
-    return out.select(*(out[c] for c in docs.columns), "_m_domain", "_m_tokens", "_m_epoch")
+    return chosen.withColumn("_m_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m_times"))))
 
 
 def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -117,9 +135,11 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
     Tokens are words (a null text has none). Null languages and sources are leaves with empty names. Ties of the
     seeded order go by doc_id, then tokens; repeated rows count one by one. Extra columns are not read; an empty table
-    or a budget of 0 gives an empty one. Documents without words cost nothing and come with whole epochs.
+    or a budget of 0 gives an empty one. Documents without words cost nothing and come with whole epochs. Texts of any
+    length are read whole, once.
     """
-    out = mixed(docs.select(*(docs[c] for c in ("doc_id", "text", "lang", "source"))), mix)
+    light = _light(_prepared(docs.select(*(docs[c] for c in ("doc_id", "text", "lang", "source"))), mix))
+    out = _chosen(light, light, mix)
     return out.select("doc_id", F.col("_m_domain").alias("domain"), "lang", "source", F.col("_m_tokens").alias("n_tokens"), F.col("_m_epoch").alias("epoch"))
 
 
