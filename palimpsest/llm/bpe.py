@@ -24,8 +24,8 @@ from .common import arrow_map
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes that such files write as themselves; the others are written as code points from 256 on.
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-#: Symbols from which a word is encoded by the heap.
-LONG = 256
+#: Symbols beyond which a word is encoded by the heap: as many rounds as it has merges would each scan all of it.
+LONG = 4096
 #: Words kept encoded in a worker; the cache starts anew beyond.
 CACHE = 120_000
 _NONE = np.int64(1) << np.int64(40)
