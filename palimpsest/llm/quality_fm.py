@@ -87,7 +87,12 @@ def margin(who: np.ndarray, what: np.ndarray, x: np.ndarray, n: int, bias: float
     return bias + np.add.reduceat(w[what] * x, first) + 0.5 * ((sums * sums).sum(axis=1) - squares), sums
 
 
+#: A tenth of the sample tells when to stop, from this many texts on; fitting ends after PATIENCE epochs without gain.
+LEAST_TO_STOP, PATIENCE = 500, 3
+
+
 def fit(column: pa.Array, n_chars: np.ndarray, labels: np.ndarray, epochs: int = 30, batch: int = 512, rate: float = 0.05, seed: int = 7) -> Model:
+    """Adagrad over the factorisation machine. A tenth of the texts are kept back and the best epoch on them counts."""
     stats, doc, word, x = raw_features(column, n_chars)
     size = (1 << BITS) + len(STATS) * (CELLS + 1)
     with np.errstate(all="ignore"):
@@ -108,11 +113,18 @@ def fit(column: pa.Array, n_chars: np.ndarray, labels: np.ndarray, epochs: int =
     off = np.searchsorted(who, np.arange(len(labels) + 1))
     l2 = np.where(np.arange(size) < (1 << BITS), 3e-3, 3e-5)
     gw, gv, gb = np.full(size, 1e-6), np.full((size, RANK), 1e-6), 1e-6
+    back = rng.permutation(len(labels))[: len(labels) // 10] if len(labels) >= LEAST_TO_STOP else np.zeros(0, np.int64)
+    used_rows = np.setdiff1d(np.arange(len(labels)), back)
+
+    def rows_of(part):
+        n = off[part + 1] - off[part]
+        at = np.arange(n.sum()) + np.repeat(off[part] - (np.cumsum(n) - n), n)
+        return np.repeat(np.arange(len(part)), n), what[at], x[at]
+
+    best, best_loss, waited = None, np.inf, 0
     for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(labels)), max(1, len(labels) // batch)):
-            n = off[part + 1] - off[part]
-            at = np.arange(n.sum()) + np.repeat(off[part] - (np.cumsum(n) - n), n)
-            d, f, value = np.repeat(np.arange(len(part)), n), what[at], x[at]
+        for part in np.array_split(rng.permutation(used_rows), max(1, len(used_rows) // batch)):
+            d, f, value = rows_of(part)
             m, sums = margin(d, f, value, len(part), bias, w, v)
             err = (1 / (1 + np.exp(-np.clip(m, -30, 30))) - labels[part]) / len(part)
             used, inv = np.unique(f, return_inverse=True)
@@ -127,6 +139,14 @@ def fit(column: pa.Array, n_chars: np.ndarray, labels: np.ndarray, epochs: int =
             v[used] -= rate * dv / np.sqrt(gv[used])
             gb += err.sum() ** 2
             bias -= rate * err.sum() / np.sqrt(gb)
+        if len(back):
+            m, _ = margin(*rows_of(back), len(back), bias, w, v)
+            loss = float(np.logaddexp(0, np.where(labels[back] > 0, -m, m)).mean())
+            if loss < best_loss - 1e-5:
+                best, best_loss, waited = (float(bias), w.copy(), v.copy()), loss, 0
+            elif (waited := waited + 1) >= PATIENCE:
+                break
+    bias, w, v = best or (float(bias), w, v)
     return Model(edges, float(bias), w.astype(np.float32), v.astype(np.float32))
 
 
@@ -159,7 +179,7 @@ _AT_ONCE = 1 << 22
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, predicted of every whole text. Null texts count as empty and are scored by their statistics.
+    """doc_id, score, predicted of every whole text, however long. Null texts count as empty and are scored by their statistics.
 
     Repeated rows score alike; null ids stay null; extra columns are not read; an empty table gives an empty one.
     """
