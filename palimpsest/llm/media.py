@@ -19,7 +19,9 @@ UNIT = 576
 TILE = 16
 
 _SPACE = rb"(?:\s|#[^\n\r]*[\n\r])+"
-_NETPBM = re.compile(rb"P([56])" + _SPACE + rb"(\d+)" + _SPACE + rb"(\d+)" + _SPACE + rb"(\d+)\s")
+_NETPBM = re.compile(rb"P([1-6])" + _SPACE + rb"(\d{1,9})" + _SPACE + rb"(\d{1,9})")
+_TOP = re.compile(_SPACE + rb"(\d{1,9})")
+_NOTE = re.compile(rb"#[^\n\r]*")
 
 
 def encode(samples: np.ndarray, kind: str = "pgm") -> bytes:
@@ -39,21 +41,47 @@ def encode(samples: np.ndarray, kind: str = "pgm") -> bytes:
     return struct.pack("<2sIHHI", b"BM", 54 + size, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, size, 2835, 2835, 0, 0) + rows.tobytes()
 
 
+def _netpbm(media: bytes, m: re.Match) -> np.ndarray:
+    """P1 to P6: bits, greys or colours as text (1 to 3) or bytes (4 to 6)."""
+    kind, width, height = (int(x) for x in m.groups())
+    at, top, bits = m.end(), 1, kind in (1, 4)
+    if not bits:
+        if not (m := _TOP.match(media, at)) or not 0 < int(m[1]) < 65536:
+            raise ValueError("the highest sample is missing or out of range")
+        at, top = m.end(), int(m[1])
+    depth = 3 if kind in (3, 6) else 1
+    need = width * height * depth
+    if kind > 3:
+        if not media[at : at + 1].isspace():
+            raise ValueError("no white space before the samples")
+        stride = -(-width // 8) if kind == 4 else width * depth
+        code = np.dtype(">u2") if top > 255 else np.dtype(np.uint8)
+        if len(media) - at - 1 < stride * height * code.itemsize:
+            raise ValueError("the samples end early")
+        values = np.frombuffer(media, code, stride * height, at + 1)
+        values = np.unpackbits(values.reshape(height, stride), axis=1)[:, :width].ravel() if kind == 4 else values
+    else:
+        body = _NOTE.sub(b"", media[at:])
+        found = np.frombuffer(bytes(c for c in body if c in b"01"), np.uint8) - 48 if kind == 1 else np.array(body.split()[:need], np.int64)
+        if len(found) < need:
+            raise ValueError("the samples end early")
+        values = found[:need]
+    if need and values.max() > top:
+        raise ValueError("a sample is above the highest one")
+    if bits:
+        values = (1 - values) * np.uint8(255)  # 1 is black
+    elif top != 255:
+        values = (values.astype(np.int64) * 255 + top // 2) // top
+    return values.astype(np.uint8, copy=False).reshape((height, width) if depth == 1 else (height, width, 3))
+
+
 def decode(media: bytes) -> np.ndarray:
-    """Binary Netpbm (P5, P6, 8 bits) or BMP (8-bit palette, 24 or 32 bits, uncompressed) as a uint8 array.
+    """Netpbm (P1 to P6, samples of up to 16 bits) or BMP (8-bit palette, 24 or 32 bits, uncompressed) as a uint8 array.
 
-    Raises ValueError for anything else and for files that end early.
+    Samples of another range are scaled to 0 to 255. Raises ValueError for anything else and for files that end early.
     """
     if m := _NETPBM.match(media):
-        kind, width, height, top = (int(x) for x in m.groups())
-        depth = 1 if kind == 5 else 3
-        if not 0 < top < 256:
-            raise ValueError("only samples of 8 bits are read")
-        need = width * height * depth
-        if len(media) - m.end() < need:
-            raise ValueError("the samples end early")
-        out = np.frombuffer(media, np.uint8, need, m.end())
-        return out.reshape(height, width) if depth == 1 else out.reshape(height, width, 3)
+        return _netpbm(media, m)
     if media[:2] == b"BM" and len(media) >= 54:
         at, head = struct.unpack_from("<II", media, 10)
         width, height, _, bits, packed = struct.unpack_from("<iiHHI", media, 18)
@@ -66,6 +94,8 @@ def decode(media: bytes) -> np.ndarray:
         rows = rows[::-1] if height > 0 else rows
         if bits == 8:
             used = struct.unpack_from("<I", media, 46)[0] or 256
+            if used > 256 or len(media) < 14 + head + used * 4 or rows[:, :width].max() >= used:
+                raise ValueError("the palette ends early")
             palette = np.frombuffer(media, np.uint8, used * 4, 14 + head).reshape(used, 4)
             return palette[rows[:, :width]][:, :, 2::-1]
         return rows[:, : width * bits // 8].reshape(abs(height), width, bits // 8)[:, :, 2::-1]
@@ -111,11 +141,44 @@ def grey(samples: np.ndarray) -> np.ndarray:
 
 def features(media: bytes) -> tuple[str, bytes]:
     """Difference hash and NPY tile of stored media."""
-    sums = integral(grey(decode(media)))
+    return _features(decode(media))
+
+
+def _features(samples: np.ndarray) -> tuple[str, bytes]:
+    if not samples.size:
+        raise ValueError("an image without pixels")
+    sums = integral(grey(samples))
     tile = np.clip(np.rint(area_resize(sums, TILE, TILE)), 0, 255).astype(np.uint8)
     return difference_hash(sums), npy(tile)
 
 
+def media_columns(df: DataFrame, column: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``keep``, then width, height, channels, dhash, tile (NPY) and error of each row's image bytes.
+
+    A row gives a row. Bytes that are null, empty, of another format, broken or without pixels have a text in ``error``
+    and null in the other columns; error is null otherwise. Images of any size are read whole, one at a time.
+    """
+    part = df.select(*(df[c] for c in keep), df[column].cast("binary").alias("_media"))
+    fields = [("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("dhash", pa.string()), ("tile", pa.binary()), ("error", pa.string())]
+
+    def one(media: bytes | None) -> tuple:
+        try:
+            samples = decode(media or b"")
+            mark, tile = _features(samples)
+            return samples.shape[1], samples.shape[0], 1 if samples.ndim == 2 else 3, mark, tile, None
+        except (ValueError, struct.error) as e:
+            return None, None, None, None, None, str(e)
+
+    def run(batches):
+        for batch in batches:
+            rows = [one(m.as_py()) for m in batch.column(len(keep))]
+            columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)] if rows else [pa.array([], t) for _, t in fields]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, *(n for n, _ in fields)])
+
+    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema.fields[:-1]]
+    return arrow_map(part, run, ", ".join([*own, "width int, height int, channels int, dhash string, tile binary, error string"]))
+
+
 def store_text(data: bytes, kind: str) -> bytes:
     data = data + b"\xff" * ((-len(data)) % UNIT or (UNIT if not data else 0))
     samples = np.frombuffer(data, np.uint8)
@@ -123,13 +186,14 @@ def store_text(data: bytes, kind: str) -> bytes:
 
 
 def text_media(docs: DataFrame, kind: str = "pgm", keep_media: bool = True) -> DataFrame:
-    """Every text as stored media: doc_id, n_bytes, media (with keep_media), read-back digests, feature and NPY tile.
+    """Every text as stored media: doc_id, n_bytes, read-back digests, feature, NPY tile, and media (with keep_media).
 
-    A null text counts as empty, which is one row of padding. Repeated rows and null ids give a row each; extra
-    columns are not read; an empty table gives an empty one. ``feature`` is the difference hash and the tile's digest.
+    A null text counts as empty, which is one row of padding. Texts of any length are stored whole. Repeated rows and
+    null ids give a row each; extra columns are not read; an empty table gives an empty one. ``feature`` is the
+    difference hash and the tile's digest.
     """
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
-    fields += [("media", pa.binary()), ("tile", pa.binary())] if keep_media else []
+    fields += [("tile", pa.binary()), *([("media", pa.binary())] if keep_media else [])]
     schema = pa.schema(fields)
 
     def run(batches):
@@ -143,7 +207,7 @@ def text_media(docs: DataFrame, kind: str = "pgm", keep_media: bool = True) -> D
                     back = decode(media).tobytes()
                     mark, tile = features(media)
                     row = (len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{mark}:{hashlib.sha256(tile).hexdigest()[:16]}")
-                    rows.append(row + (media, tile) if keep_media else row)
+                    rows.append(row + ((tile, media) if keep_media else (tile,)))
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, 512).cast(pa.int64()), *columns], schema=schema)
 
