@@ -203,11 +203,33 @@ def test_formats_round_trip():
     down = bytearray(media.encode(samples.reshape(1, 1), "bmp"))
     struct.pack_into("<i", down, 22, -1)
     assert media.decode(bytes(down))[0, 0, 0] == samples[0, 0]
-    for broken in (b"", b"P5 9 9 255\n1", b"P2 1 1 255\n1", b"BM" + b"\0" * 60, b"P5 1 1 65535\nab"):
+    for broken in (b"", b"P5 9 9 255\n1", b"P2 2 1 255\n1", b"P2 1 1 9\n10", b"P5 1 1\n", b"BM" + b"\0" * 60, b"P5 1 1 65535\na"):
         with pytest.raises(ValueError):
             media.decode(broken)
 
 
+def test_text_bit_and_wide_formats():
+    assert (media.decode(b"P1\n# bits\n3 2\n101\n0 1 0\n") == [[0, 255, 0], [255, 0, 255]]).all()
+    assert (media.decode(b"P4\n3 2\n\xa0\x40") == [[0, 255, 0], [255, 0, 255]]).all()
+    assert (media.decode(b"P2 2 1 # top\n4\n0 # dark\n4\n") == [[0, 255]]).all()
+    assert (media.decode(b"P3 1 1 255\n1 2 3") == [[[1, 2, 3]]]).all()
+    assert (media.decode(b"P5 2 1 65535\n\x00\x00\xff\xff") == [[0, 255]]).all()
+
+
+def test_media_columns_of_any_bytes(spark):
+    image = np.arange(12, dtype=np.uint8).reshape(3, 4)
+    data = [(1, media.encode(image)), (2, media.encode(image, "bmp")), (3, None), (4, b""), (5, b"GIF89a"), (6, media.encode(image)[:-1]), (7, b"P5 0 0 255\n"), (1, media.encode(image))]
+    docs = spark.createDataFrame([(*d, "own") for d in data], "doc_id long, image binary, tile string")
+    out = media.media_columns(docs, "image", ("doc_id",)).collect()
+    assert len(out) == 8 and media.media_columns(docs.limit(0), "image").count() == 0
+    for r in out:
+        if r["doc_id"] < 3:
+            mark, tile = media.features(dict(data)[r["doc_id"]])
+            assert (r["width"], r["height"], r["dhash"], bytes(r["tile"]), r["error"]) == (4, 3, mark, tile, None)
+        else:
+            assert r["error"] and r["tile"] is None and r["dhash"] is None
+
+
 def test_area_resize_is_exact():
     image = np.random.default_rng(4).integers(0, 256, (6, 10)).astype(np.int64)
     for height, width in ((3, 5), (4, 7), (6, 10), (9, 12), (1, 1)):
@@ -287,6 +309,23 @@ def test_short_passages_go_whatever_surrounds_them(spark):
         assert all(out[k]["text"] == "\n".join([*own[k][0], *own[k][1]]) and out[k]["removed"] == f"4:{5 + n}" for k in range(1, 30))
 
 
+@pytest.mark.parametrize("n", [2, 3, 5, 10, 30])
+def test_share_of_planted_passages_that_goes(spark, n):
+    """The first copy stays whole and every later one goes whole, whatever stands around it; chunks alone need length."""
+    pick = random.Random(n)
+    line = lambda: " ".join(f"w{pick.randrange(10**6)}" for _ in range(6))
+    passages = [[line() for _ in range(n)] for _ in range(20)]
+    texts, own = {}, {}
+    for k in range(100):
+        a, b = [line() for _ in range(pick.randint(1, 6))], [line() for _ in range(pick.randint(1, 6))]
+        texts[k], own[k] = "\n".join([*a, *passages[k % 20], *b]), "\n".join([*a, *b])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs).collect()}
+    assert all(out[k] == (texts[k] if k < 20 else own[k]) for k in texts)
+    chunks = sum(r["n_removed"] for r in line_dedup.line_dedup(docs, whole=False).collect()) / (80 * n)
+    assert chunks <= 1 and (n < 30 or chunks > 0.75), chunks
+
+
 def test_line_dedup_runs_no_python(spark, small):
     for run in (line_dedup.line_dedup, secret_scan.candidates):
         plan = run(table(spark, small, "documents"))._jdf.queryExecution().executedPlan().toString()
