@@ -6,8 +6,8 @@ shifts none but its neighbours, and chunks have two lines or more. Of the chunks
 documents, the first occurrence (least doc_id, then least line) stays and every other one whose bytes equal it goes.
 
 Borders depend on the lines around a passage, so the two ends of a repeated passage, and short ones as a whole, lie in
-chunks that differ: of passages of 3 lines chunks find nothing, of 30 lines about five sixths. complete() therefore
-also compares every two neighbouring lines that have a word (with the blank ones between them): of those that stand in
+chunks that differ: chunks alone remove an eighth of repeated passages of 3 lines, seven eighths of those of 30 lines.
+complete() therefore also compares every two neighbouring lines that have a word (with the blank ones between them): of those that stand in
 several places the first stays whole, and the lines of every other one go, wherever chunks end.
 """
 

@@ -3,10 +3,12 @@ import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import regex
 
 import corpus_pipeline
 from palimpsest.llm import line_dedup, media, mixing, pii, quality_fm, quality_rules, queries, secret_scan, toxicity
@@ -255,12 +257,71 @@ def test_texts_are_stored_without_loss(spark, kind):
 # secrets
 
 
+def whole_candidates(text):
+    """Start and body of each candidate, by another regular expression engine."""
+    for m in regex.finditer(secret_scan.CANDIDATE, text, regex.ASCII):
+        named = regex.search(f"{secret_scan._ASSIGNED}$", text[max(0, m.start() - secret_scan.BEFORE) : m.start()])
+        if named or re.search("[0-9]", m.group()):
+            yield m.start(), m.group(), bool(named)
+
+
 def test_candidates_are_found_where_they_stand(spark, small):
     docs = table(spark, small, "documents")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    found = secret_scan.candidates(docs).collect()
-    assert len(found) == sum(len(re.findall(secret_scan.CANDIDATE, t)) for t in texts.values())
-    assert all(texts[r["doc_id"]][r["start"] : r["end"]] == r["body"] for r in found)
+    found = {(r["doc_id"], r["start"], r["body"]) for r in secret_scan.candidates(docs).collect()}
+    assert found == {(d, a, body) for d, t in texts.items() for a, body, _ in whole_candidates(t or "")} and len(found) > 30
+    assert all(texts[d][a : a + len(body)] == body for d, a, body in found)
+
+
+def test_values_with_names_and_long_runs_are_candidates(spark):
+    texts = ["token=abc123", "é my_password: 'hunter'", 'api_key = "x y"', "a" * 600 + "7", "no author: smith here", "token", "SECRET:q9=="]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["doc_id"], r["body"]) for r in secret_scan.candidates(docs).collect()}
+    assert found == {(0, "abc123"), (1, "hunter"), (2, "x"), (3, "a" * 600 + "7"), (6, "q9==")}
+    assert found == {(d, body) for d, t in enumerate(texts) for _, body, _ in whole_candidates(t)}
+
+
+def test_features_against_brute_force(spark):
+    pick = random.Random(17)
+    words = ["river", "stone", "cloud", "maple", "an", "of"]
+    rows = []
+    for k in range(60):
+        body = ["".join(pick.choice("0123456789abcdef") for _ in range(20)), f"river_{k}/stone-Q{k}.maplecloud", f"{k:017d}"][k % 3]
+        rows.append((k, f"{' '.join(pick.choice(words) for _ in range(8))} x {body} {pick.choice(words)} y"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secret_scan.candidates(docs)
+    got = secret_scan.described(found, secret_scan.lexical(docs, found)).collect()
+    alone = Counter(w for _, t in rows for w in set(re.findall("(?<![A-Za-z0-9])[a-z]{3,}(?![A-Za-z0-9])", t.lower())))
+    known = {w for w, n in alone.items() if n >= secret_scan.LEAST_DOCS}
+    plain = lambda c: c.lower() if re.match("[A-Za-z0-9]", c) else " "
+    kind = lambda c: "d" if c in "0123456789" else "h" if c in "abcdef" else "l" if "g" <= c <= "z" else "u" if "A" <= c <= "Z" else "s"
+    pairs = Counter()
+    for r in got:
+        around = f"{r['before']} {r['after']}"
+        pairs.update((plain(a), plain(b)) for a, b in zip(around, around[1:], strict=False))
+    first = Counter()
+    for (a, _), n in pairs.items():
+        first[a] += n
+    assert len(got) == 60 and known == {"river", "stone", "cloud", "maple", "maplecloud"}
+    for r in got:
+        body = r["body"]
+        n = len(body) - 1
+        two = list(zip(body, body[1:], strict=False))
+        want = sum(np.log((pairs[plain(a), plain(b)] + 1) / (first[plain(a)] + 37)) for a, b in two) / n
+        assert abs(r["f_likelihood"] - want) < 1e-6
+        assert all(abs(r[f"f_t_{t}"] - sum(kind(a) + kind(b) == t for a, b in two) / n) < 1e-9 for t in secret_scan.TRANSITIONS)
+        assert abs(r["f_covered"] - sum(len(w) for w in re.findall("[a-z]{3,}", body.lower()) if w in known) / len(body)) < 1e-9
+        assert r["f_digits"] == sum(c.isdigit() for c in body) / len(body) and r["f_n_chars"] == len(body)
+
+
+def test_forest_on_documents_that_labels_leave_out(spark):
+    at = "/root/testdata/sf0.1"
+    docs = table(spark, at, "documents")
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    truth = {(d, a): named for d, t in texts.items() for a, _, named in whole_candidates(t or "")}
+    held = [r for r in secret_scan.secret_scan(docs).collect() if r["held_out"]]
+    hit = sum(r["is_secret"] and truth[r["doc_id"], r["start"]] for r in held)
+    assert len(held) > 100 and hit >= 0.95 * sum(truth[r["doc_id"], r["start"]] for r in held) and hit >= 0.95 * sum(r["is_secret"] for r in held)
 
 
 def test_the_forest_removes_false_positives(spark):
