@@ -54,14 +54,18 @@ def text_counts(column: pa.Array) -> list[np.ndarray]:
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
 
-#: Rules: a value in whole units of each document, and its least distance from the group's median to be an outlier.
-#: ``spread`` times the distance from the median to the quartile is the adaptive part.
+#: Rules: a value in whole units of each document; the quantile (in twentieths) of its group from which the bound is
+#: measured, above and, mirrored, below if ``low``; the least spread that counts. The bound lies SPREAD times the
+#: distance of that quantile from the median beyond the quantile. Symbols and repeated lines are 0 in most documents of
+#: any group, quartiles included; there the least spread decides, and elsewhere the sketch.
 RULES = {
-    "symbols": ("1000 * {p}n_symbols div greatest({p}word_chars, 1)", 50, True, False),
-    "dup_lines": ("1000 * {p}n_dup_lines div greatest({p}n_lines, 1)", 400, True, False),
-    "word_length": ("100 * {p}word_chars div greatest({p}n_words, 1)", 150, True, True),
+    "symbols": ("1000 * {p}n_symbols div greatest({p}word_chars, 1)", 15, False, 12),
+    "dup_lines": ("1000 * {p}n_dup_lines div greatest({p}n_lines, 1)", 15, False, 100),
+    "word_length": ("100 * {p}word_chars div greatest({p}n_words, 1)", 18, True, 8),
 }
-SPREAD = 6
+SPREAD = 4
+#: Quantiles that are read from sketches, in twentieths.
+TWENTIETHS = (2, 10, 15, 18)
 #: Groups of fewer documents take the merged sketch of their language, then of all documents.
 LEAST_GROUP = 50
 
@@ -100,13 +104,13 @@ def sketches(counts: DataFrame) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Merged sketches' lower quartile, median and upper quartile of each group and rule, with the number of documents."""
+    """Merged sketches' quantiles (TWENTIETHS) of each group and rule, with the number of documents."""
     from pyspark.sql import Window
 
     merged = sketch.groupBy(*by, "rule", "cell").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "rule")
     run = merged.select("*", F.sum("n").over(group.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(group).alias("total"))
-    return run.groupBy(*by, "rule").agg(*(F.min(F.expr(f"CASE WHEN 4 * upto >= {k} * total THEN cell END")).alias(f"q{k}") for k in (1, 2, 3)), F.max("total").alias("total"))
+    return run.groupBy(*by, "rule").agg(*(F.min(F.expr(f"CASE WHEN 20 * upto >= {k} * total THEN cell END")).alias(f"q{k}") for k in TWENTIETHS), F.max("total").alias("total"))
 
 
 def thresholds(counts: DataFrame) -> DataFrame:
@@ -117,18 +121,17 @@ def thresholds(counts: DataFrame) -> DataFrame:
     """
     sketch = sketches(counts)
     fine, lang, every = quantiles(sketch, ["lang", "source"]), quantiles(sketch, ["lang"]), quantiles(sketch, [])
-    got = fine.select("lang", "source", "rule", F.struct("q1", "q2", "q3").alias("own"), F.col("total").alias("own_n"))
-    got = got.join(lang.select(F.col("lang").alias("_l"), F.col("rule").alias("_r"), F.struct("q1", "q2", "q3").alias("of_lang"), F.col("total").alias("lang_n")), F.col("lang").eqNullSafe(F.col("_l")) & (F.col("rule") == F.col("_r"))).drop("_l", "_r")
-    got = got.join(every.select(F.col("rule").alias("_r"), F.struct("q1", "q2", "q3").alias("of_all")), F.col("rule") == F.col("_r")).drop("_r")
+    q = F.struct(*(f"q{k}" for k in TWENTIETHS))
+    got = fine.select("lang", "source", "rule", q.alias("own"), F.col("total").alias("own_n"))
+    got = got.join(lang.select(F.col("lang").alias("_l"), F.col("rule").alias("_r"), q.alias("of_lang"), F.col("total").alias("lang_n")), F.col("lang").eqNullSafe(F.col("_l")) & (F.col("rule") == F.col("_r"))).drop("_l", "_r")
+    got = got.join(every.select(F.col("rule").alias("_r"), q.alias("of_all")), F.col("rule") == F.col("_r")).drop("_r")
     q = F.when(F.col("own_n") >= LEAST_GROUP, F.col("own")).when(F.col("lang_n") >= LEAST_GROUP, F.col("of_lang")).otherwise(F.col("of_all"))
     got = got.select("lang", "source", "rule", q.alias("q"))
     bounds = []
-    for name, (_, least, high, low) in RULES.items():
-        of = F.col("rule") == name
-        top = F.col("q.q2") + F.greatest(F.lit(least), SPREAD * (F.col("q.q3") - F.col("q.q2")))
-        bottom = F.col("q.q2") - F.greatest(F.lit(least), SPREAD * (F.col("q.q2") - F.col("q.q1")))
-        bounds += [F.max(F.when(of, top)).alias(f"{name}_high")] if high else []
-        bounds += [F.max(F.when(of, bottom)).alias(f"{name}_low")] if low else []
+    for name, (_, at, low, least) in RULES.items():
+        of, high, middle, below = F.col("rule") == name, F.col(f"q.q{at}"), F.col("q.q10"), F.col(f"q.q{20 - at}") if low else None
+        bounds.append(F.max(F.when(of, high + SPREAD * F.greatest(F.lit(least), high - middle))).alias(f"{name}_high"))
+        bounds += [F.max(F.when(of, below - SPREAD * F.greatest(F.lit(least), middle - below))).alias(f"{name}_low")] if low else []
     return stored(got.groupBy("lang", "source").agg(*bounds), "bounds")
 
 
@@ -141,9 +144,9 @@ def judge(counts: DataFrame, bounds: DataFrame, prefix: str = "") -> DataFrame:
     named = bounds.select(F.col("lang").alias("__b_lang"), F.col("source").alias("__b_source"), *(F.col(c).alias(f"__b_{c}") for c in bounds.columns[2:]))
     joined = counts.join(named, counts["lang"].eqNullSafe(named["__b_lang"]) & counts["source"].eqNullSafe(named["__b_source"]), "left")
     failed = []
-    for name, (value, _, high, low) in RULES.items():
+    for name, (value, _, low, _) in RULES.items():
         v = f"({value.format(p=prefix)})"
-        tests = ([f"{v} > __b_{name}_high"] if high else []) + ([f"{v} < __b_{name}_low"] if low else [])
+        tests = [f"{v} > __b_{name}_high"] + ([f"{v} < __b_{name}_low"] if low else [])
         failed.append(F.expr(f"CASE WHEN {' OR '.join(tests)} THEN '{name}' END"))
     out = joined.select(*(counts[c] for c in counts.columns), base_failed(prefix).alias(f"{prefix}base_failed"), F.concat_ws(",", *failed).alias(f"{prefix}rules_failed"))
     return out.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & (F.col(f"{prefix}rules_failed") == ""))
@@ -153,7 +156,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """Verdict of every document: doc_id, the counts, base_failed, rules_failed, kept.
 
     Null texts count as empty and fail the base rules; null languages and sources are groups of their own; repeated
-    rows are judged alike; extra columns are not read; an empty table gives an empty one.
+    rows are judged alike; a value equal to a bound passes; texts of any length are read whole; extra columns are not
+    read; an empty table gives an empty one.
     """
     counts = stored(measured(docs, "doc_id", "lang", "source"), "quality_counts")
     return judge(counts, thresholds(counts)).select("doc_id", *COUNTS, "base_failed", "rules_failed", "kept")
@@ -176,17 +180,15 @@ def _sql() -> str:
         return f"""
 {name}_m AS (SELECT {group}, cell, sum(n) AS n FROM sketch GROUP BY ALL),
 {name}_u AS (SELECT *, sum(n) OVER (PARTITION BY {group} ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY {group}) AS total FROM {name}_m),
-{name} AS (SELECT {group}, {", ".join(f"min(cell) FILTER (4 * upto >= {k} * total) AS q{k}" for k in (1, 2, 3))}, max(total) AS total FROM {name}_u GROUP BY ALL)"""
+{name} AS (SELECT {group}, {", ".join(f"min(cell) FILTER (20 * upto >= {k} * total) AS q{k}" for k in TWENTIETHS)}, max(total) AS total FROM {name}_u GROUP BY ALL)"""
 
-    pick = ", ".join(f"CASE WHEN f.total >= {LEAST_GROUP} THEN f.q{k} WHEN g.total >= {LEAST_GROUP} THEN g.q{k} ELSE h.q{k} END AS q{k}" for k in (1, 2, 3))
+    pick = ", ".join(f"CASE WHEN f.total >= {LEAST_GROUP} THEN f.q{k} WHEN g.total >= {LEAST_GROUP} THEN g.q{k} ELSE h.q{k} END AS q{k}" for k in TWENTIETHS)
     bounds, tests = [], []
-    for n, (_, least, high, low) in RULES.items():
-        own = []
-        if high:
-            bounds.append(f"max(q2 + greatest({least}, {SPREAD} * (q3 - q2))) FILTER (rule = '{n}') AS {n}_high")
-            own.append(f"{values[n]} > {n}_high")
+    for n, (_, at, low, least) in RULES.items():
+        bounds.append(f"max(q{at} + {SPREAD} * greatest({least}, q{at} - q10)) FILTER (rule = '{n}') AS {n}_high")
+        own = [f"{values[n]} > {n}_high"]
         if low:
-            bounds.append(f"max(q2 - greatest({least}, {SPREAD} * (q2 - q1))) FILTER (rule = '{n}') AS {n}_low")
+            bounds.append(f"max(q{20 - at} - {SPREAD} * greatest({least}, q10 - q{20 - at})) FILTER (rule = '{n}') AS {n}_low")
             own.append(f"{values[n]} < {n}_low")
         tests.append(f"CASE WHEN {' OR '.join(own)} THEN '{n}' END")
     leads = ", ".join(f"lead(w, {k}) OVER o" for k in range(1, WINDOW))

@@ -47,6 +47,19 @@ def test_rules_reject_outliers_of_their_group_and_keep_the_rest(spark):
     assert not out[201]["kept"] and out[203]["base_failed"] and not out[203]["kept"]
 
 
+def test_the_sketch_decides_on_word_length_and_clean_documents_stay(spark):
+    at = "/root/testdata/sf0.1"
+    docs = table(spark, at, "documents")
+    counts = quality_rules.stored(quality_rules.measured(docs, "lang", "source"), "counts")
+    spread = quality_rules.quantiles(quality_rules.sketches(counts), ["lang", "source"]).filter("rule = 'word_length'")
+    least = quality_rules.RULES["word_length"][3]
+    assert spread.count() == spread.filter(f"q18 - q10 > {least} AND q10 - q2 > {least}").count() == 80
+    labels = {r["doc_id"]: r["quality"] for r in table(spark, at, "labels").collect()}
+    out = [r for r in quality_rules.quality_rules(docs).filter("NOT base_failed").collect() if r["doc_id"] in labels]
+    clean, junk = ([r for r in out if labels[r["doc_id"]] == y] for y in (1, 0))
+    assert sum(r["kept"] for r in clean) > 0.99 * len(clean) and sum(not r["kept"] for r in junk) > 0.9 * len(junk)
+
+
 def test_sketches_merge(spark, small):
     docs = table(spark, small, "documents")
     counts = quality_rules.measured(docs, "doc_id", "lang", "source")
