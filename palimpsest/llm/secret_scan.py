@@ -6,9 +6,10 @@ its characters follow each other in the text around all candidates; the share th
 dictionary being the words that LEAST_DOCS documents have; its path and the words around it, as categories. A random
 forest of Spark ML, trained from labelled findings, gives the probability that it is a secret.
 
-Where no findings are labelled by hand, names label them: a value that is assigned to a secret's name counts as a
-secret, any other candidate does not. The forest does not see what the labels come from: names and the assignment
-belong to no feature. A fifth of the documents is kept out of training, to measure on.
+Where no findings are labelled by hand, names and published key formats label them: a value that is assigned to a
+secret's name, or has the form of an issued key, counts as a secret, any other candidate does not. Names and the
+assignment belong to no feature, so the forest does not see what most labels come from. A fifth of the documents is
+kept out of training, to measure on.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .common import key_filter, pass_filter, remainder, stored
 
 #: Names in front of a value that is meant to be secret.
 NAMES = "token|secret|passw(?:or)?d|pwd|api_?key|access_?key|private_?key|auth|credentials?|bearer"
+#: Published forms of issued keys (cloud access keys, repository, chat and payment tokens, signed tokens).
+FORMATS = "^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]*)$"
 #: Key characters. One or two '=' may end a run; inside, it parts a name from its value.
 _KEY = r"A-Za-z0-9_+/.\-"
 _ASSIGNED = rf"(?i:(?<![A-Za-z])(?:{NAMES}))[\"']?[ \t]?[=:][ \t]?[\"']?"
@@ -151,8 +154,9 @@ def described(found: DataFrame, lex: DataFrame) -> DataFrame:
 
 
 def name_labels(found: DataFrame) -> DataFrame:
-    """Labelled findings where none are given by hand: 1 for a value assigned to a secret's name, else 0; held-out documents left out."""
-    return found.filter(remainder(F.col("doc_id"), DIVISOR) != HELD_OUT).withColumn("label", _named().cast("int"))
+    """Labelled findings where none are given by hand: 1 for a value assigned to a secret's name or of a published form,
+    else 0; held-out documents left out."""
+    return found.filter(remainder(F.col("doc_id"), DIVISOR) != HELD_OUT).withColumn("label", (_named() | F.col("body").rlike(FORMATS)).cast("int"))
 
 
 def train(labelled: DataFrame, lex: DataFrame, sample: int = SAMPLE) -> PipelineModel | None:
