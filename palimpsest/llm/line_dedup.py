@@ -111,11 +111,12 @@ def passages(docs: DataFrame) -> DataFrame:
     return stored(gone.select("doc_id", "mark", F.lit("gone").alias("kind")).unionAll(held), "passages")
 
 
-def complete(docs: DataFrame) -> DataFrame:
+def complete(docs: DataFrame, spare: int | None = None) -> DataFrame:
     """``docs`` as apply() gives them, without repeated chunks and without repeated passages that share no chunk.
 
     A line goes if it is in a repeated chunk or pair and not in the first place of a repeated pair. Each removed line
-    stands in an earlier place too, and of each removed pair one copy stays whole.
+    stands in an earlier place too, and of each removed pair one copy stays whole. With ``spare``, a document that would
+    lose so many per cent of its words or more stays as it is.
     """
     chunks = repeats(docs).select("doc_id", F.expr(_mark("at", "n", "hash")).alias("mark"), F.lit("chunk").alias("kind"))
     marks = chunks.unionAll(passages(docs))
@@ -132,6 +133,10 @@ def complete(docs: DataFrame) -> DataFrame:
     # a mark holds only for the row that has its text: rows may share a doc_id
     numbers = lambda name, of: f"flatten(transform(array_intersect(transform({of}, c -> {_mark('c.at', 'c.n', 'xxhash64(c.body)')}), coalesce({name}, cast(array() AS array<string>))), m -> sequence(cast(split_part(m, ':', 1) AS int), cast(split_part(m, ':', 1) AS int) + cast(split_part(m, ':', 2) AS int) - 1)))"
     asked = asked.withColumn("_out", F.expr(f"array_sort(array_except(array_union({numbers('_chunk_marks', '_chunks')}, {numbers('_gone_marks', '_pairs')}), {numbers('_held_marks', '_pairs')}))"))
+    if spare is not None:
+        words = lambda of: f"aggregate({of}, 0L, (n, x) -> n + regexp_count(x, r'[^\\x20\\x09-\\x0D]+'))"
+        lost = words("transform(_out, i -> get(_lines, i))")
+        asked = asked.withColumn("_out", F.expr(f"CASE WHEN size(_out) > 0 AND 100 * {lost} >= {spare} * {words('_lines')} THEN slice(_out, 1, 0) ELSE _out END"))
     asked = asked.withColumn("_next", F.expr("transform(_out, i -> i + 1)"))
     text = F.expr("CASE WHEN size(_out) = 0 THEN text ELSE array_join(transform(array_except(sequence(0, size(_lines) - 1), _out), i -> get(_lines, i)), '\\n') END")
     runs = F.expr("zip_with(array_except(_out, _next), array_except(_next, _out), (a, b) -> named_struct('at', a, 'n', b - a))")
@@ -153,10 +158,18 @@ def line_dedup(docs: DataFrame, whole: bool = True) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.expr("aggregate(_removed, 0L, (a, r) -> a + r.n)").alias("n_removed"), spans.alias("removed"), "text")
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated multi-line chunks and passages taken out of text; its columns, whatever their names."""
+#: Per cent of its words that a document must lose to count as a copy rather than as one that repeats a passage.
+SPARE = 50
+
+
+def drop_repeats(docs: DataFrame, spare: int | None = SPARE) -> DataFrame:
+    """``docs`` with repeated multi-line chunks and passages taken out of text; its columns, whatever their names.
+
+    A document that would lose half of its words or more (``spare``) is a copy as a whole. It stays as it is, for
+    near-duplicate detection to drop, which could not know it by the few lines that would be left. None spares nothing.
+    """
     inner, back = guarded(docs, "doc_id", "text")
-    return back(complete(inner))
+    return back(complete(inner, spare))
 
 
 #: The result in DuckDB, where chunks and pairs of lines are grouped by their bytes at once.

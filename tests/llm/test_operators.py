@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 
@@ -431,29 +432,51 @@ def test_prefixes_of_cells_equal_those_of_whole_leaves(spark, small, monkeypatch
 # the pipeline
 
 
+def in_duckdb(sql, docs):
+    """A stage's SQL over collected documents, as rows of dicts."""
+    c = duckdb.connect()
+    c.register("documents", pa.Table.from_pylist([r.asDict() for r in docs], pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])))
+    return c.sql(sql).to_arrow_table().to_pylist()
+
+
 def test_pipeline_stages_against_brute_force(spark, small):
-    from palimpsest.llm import bpe, near_dup
+    from tokenizers import Tokenizer
+
     from tests.llm.test_near_dup import components
 
     docs = table(spark, small, "documents")
     stages = dict(corpus_pipeline.STAGES)
-    kept = stages["quality rules"](spark, docs, small)
-    verdict = {r["doc_id"] for r in quality_rules.quality_rules(docs).filter("kept").collect()}
-    assert {r["doc_id"] for r in kept.collect()} == verdict
-    lines = stages["line dedup"](spark, kept, small).collect()
-    want = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(kept).collect()}
-    assert {r["doc_id"]: r["text"] for r in lines} == want
-    texts = spark.createDataFrame(lines, docs.schema)
-    near = stages["near-duplicates"](spark, texts, small).collect()
+    read = docs.collect()
+    kept = stages["quality rules"](spark, docs, small).collect()
+    verdict = {r["doc_id"] for r in in_duckdb(quality_rules.SQL, read) if r["kept"]}
+    assert sorted(r["doc_id"] for r in kept) == sorted(verdict) and set(kept) <= set(read)
+    lines = stages["line dedup"](spark, spark.createDataFrame(kept, docs.schema), small).collect()
+    before, want = {r["doc_id"]: r["text"] for r in kept}, {}
+    words = lambda text: len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    for r in in_duckdb(line_dedup.SQL, kept):
+        old = before[r["doc_id"]]
+        copy = 100 * (words(old) - words(r["text"])) >= line_dedup.SPARE * words(old)
+        want[r["doc_id"]] = old if copy else r["text"]
+    assert {r["doc_id"]: r["text"] for r in lines} == want and sum(want[d] != before[d] for d in want) > 10
+    near = stages["near-duplicates"](spark, spark.createDataFrame(lines, docs.schema), small).collect()
     groups, _ = components(want, 5, 80)
-    assert {r["doc_id"] for r in near} == set(groups.values())
-    mixed = stages["mixing"](spark, spark.createDataFrame(near, docs.schema), small)
-    out = stages["tokens"](spark, mixed, small)
-    ids = sorted(r["doc_id"] for r in out.collect())
-    assert ids == sorted(r["doc_id"] for r in mixed.collect()) and set(ids) <= {r["doc_id"] for r in near}
-    final = {r["doc_id"]: r["text"] for r in bpe.decode(out, queries.vocabulary_path()).collect()}
-    assert all(final[d] == (want[d] or "") for d in final)
-    assert near_dup.near_duplicates(texts).count() == texts.count()
+    assert sorted(r["doc_id"] for r in near) == sorted(set(groups.values()))
+    mixed = stages["mixing"](spark, spark.createDataFrame(near, docs.schema), small).collect()
+    assert sorted(r["doc_id"] for r in mixed) == sorted(r["doc_id"] for r in in_duckdb(mixing.sql(corpus_pipeline.MIX), near))
+    out = stages["tokens"](spark, spark.createDataFrame(mixed, docs.schema), small).collect()
+    library = Tokenizer.from_file(queries.vocabulary_path())
+    ids = {d: library.encode(want[d] or "", add_special_tokens=False).ids for d in {r["doc_id"] for r in mixed}}
+    assert len(out) == len(mixed) and all(list(r["ids"]) == ids[r["doc_id"]] and r["n_tokens"] == len(r["ids"]) for r in out)
+
+
+def test_copies_are_left_to_near_duplicate_detection(spark):
+    line = lambda k: " ".join(f"w{k}x{i}" for i in range(8))
+    whole = [line(k) for k in range(10)]
+    rows = [(1, "\n".join(whole)), (2, "\n".join(whole)), (3, "\n".join([*whole[:9], line(77)])), (4, "\n".join([*whole[:3], *(line(100 + k) for k in range(9))]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = dict(tuple(r) for r in line_dedup.drop_repeats(docs).collect())
+    assert [out[k] for k in (1, 2, 3)] == [t for _, t in rows[:3]] and out[4] == "\n".join(line(100 + k) for k in range(9))
+    assert dict(tuple(r) for r in line_dedup.drop_repeats(docs, None).collect())[2] == ""
 
 
 def test_run_writes_and_rereads_each_stage(spark, small):
