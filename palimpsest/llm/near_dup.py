@@ -6,9 +6,10 @@ hash of a bin is its value, and an empty bin copies the first filled bin of its
 Bands of the signature are bucket keys. In a bucket every member is compared with the smallest one only, on full sets.
 
 Star edges alone would lose links between two members that the centre does not link. So documents that candidate
-edges connect, confirmed or not, form a family; in a family of more than one component every document outside its
-largest component is compared with all others, in blocks of bounded size, by an inverted index. Only links that join
-two components leave a block. Nothing is capped: a larger family has more blocks.
+edges connect, confirmed or not, form a family. In a large family of more than one component the documents go that
+share none of their rarest shingles with another component, which a link needs (prefix filter). Of the rest, every
+document outside its family's largest component is compared with all others, in blocks of bounded size, by an inverted
+index. Only links that join two components leave a block. Nothing is capped: a larger family has more blocks.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ from .graphs import components
 BINS, ROWS = 128, 4
 #: Documents that are compared with as many others in one block.
 BLOCK = 128
+#: Bytes of the sets that one task of the prefix filter takes, and about those of the sample that orders a family's
+#: shingles; neither changes the result.
+PART, SAMPLE = 16 << 20, 2 << 20
 _PROBES = 64
 
 
@@ -167,15 +171,64 @@ def _block_links(frame: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def _rest(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different labels of a family (rep, label, family) that star edges missed: a, b (labels)."""
+def _meeting(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members (family, rep, label) that may have a link to another label of their family: rep.
+
+    Each family orders its shingles from rare to frequent, as a sample of it counts them. Sets of similarity p share
+    one of the first n - ceil(2 p n / (1 + p)) + 1 shingles of the smaller set and n - ceil(p n) + 1 of the larger one
+    (n: the set's size), in any order, so the sample decides on the cost alone. What a whole family has in common comes
+    last: members that share nothing else meet nobody, and cost what their own shingles do.
+    """
+    sized = members.join(sets.select("_id", "_size"), F.col("rep") == F.col("_id")).groupBy("family").agg(F.sum("_size").alias("bytes"))
+    sized = stored(sized.select(F.col("family").alias("_f"), "bytes", F.ceil(F.col("bytes") / PART).alias("parts")), "family_sizes")
+    rows = members.join(sized, F.col("family") == F.col("_f")).join(sets, F.col("rep") == F.col("_id"))
+    sampled = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("bytes")) < SAMPLE
+    own = F.struct(F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"), F.lit(False).alias("sample"))
+    everywhere = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.lit(True).alias("sample")))
+    rows = rows.select("family", "rep", "label", "_set", F.explode(F.when(sampled, F.concat(F.array(own), everywhere)).otherwise(F.array(own))).alias("place"))
+    rows = rows.select("family", "place.part", "place.sample", "rep", "label", "_set")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        drawn = [np.frombuffer(x, np.uint64) for x in frame.loc[frame["sample"], "_set"]]
+        known, times = np.unique(np.concatenate([*drawn, np.zeros(1, np.uint64)]), return_counts=True)
+        mine = frame[~frame["sample"]]
+        spots, first = [], []
+        for raw in mine["_set"]:
+            s = np.frombuffer(raw, np.uint64)
+            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            long, short = (len(s) + (-part * len(s) // of) + 1 for part, of in ((percent, 100), (2 * percent, 100 + percent)))
+            spots.append(s[np.argsort(np.where(known[at] == s, times[at], 0), kind="stable")[:long]])
+            first.append(np.arange(len(spots[-1])) < short)
+        n = [len(x) for x in spots]
+        salt = textnp.mix(frame["family"].to_numpy()[:1].astype(np.uint64))
+        spot = textnp.mix(np.concatenate([*spots, np.zeros(0, np.uint64)]) ^ salt).view(np.int64)
+        return pd.DataFrame({"spot": spot, "rep": np.repeat(mine["rep"].to_numpy(), n), "label": np.repeat(mine["label"].to_numpy(), n), "first": np.concatenate([*first, np.zeros(0, bool)])})
+
+    found = stored(rows.groupBy("family", "part").applyInPandas(run, "spot long, rep long, label long, first boolean"), "prefixes")
+    early = F.when(F.col("first"), F.col("label"))
+    spots = found.groupBy("spot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(early).alias("_lo"), F.max(early).alias("_hi")).filter("lo < hi AND _lo IS NOT NULL")
+    spots = stored(spots.select(F.col("spot").alias("_spot"), "_lo", "_hi"), "spots")
+    return stored(found.join(spots, F.col("spot") == F.col("_spot")).filter("first OR _lo <> label OR _hi <> label").select(F.col("rep").alias("_met")).distinct(), "meeting")
+
+
+def _unsettled(families: DataFrame) -> DataFrame:
+    """Members of families of several labels, with whether they are outside the largest one, and the family's blocks."""
     sizes = families.groupBy("family", "label").agg(F.count("*").alias("n"))
     whole = sizes.groupBy("family").agg(F.sum("n").alias("total"), F.max(F.struct("n", "label")).alias("main")).filter("total > main.n")
     whole = whole.select(F.col("family").alias("_f"), F.col("main.label").alias("main"), F.ceil(F.col("total") / BLOCK).alias("targets"), F.ceil((F.col("total") - F.col("main.n")) / BLOCK).alias("probes"))
     whole = stored(whole, "unsettled")  # its size is known when the join is planned
-    rows = families.join(whole, F.col("family") == F.col("_f")).select("family", "rep", "label", (F.col("label") != F.col("main")).alias("probe"), "targets", "probes")
+    return families.join(whole, F.col("family") == F.col("_f")).select("family", "rep", "label", (F.col("label") != F.col("main")).alias("probe"), "targets", "probes")
+
+
+def _rest(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different labels of a family (rep, label, family) that star edges missed: a, b (labels)."""
+    single = F.col("targets") == 1
+    rows = _unsettled(families)
+    large = stored(rows.filter(~single).select("family", "rep", "label"), "large")
+    if not large.isEmpty():
+        met = large.join(_meeting(large, sets, percent), F.col("rep") == F.col("_met")).drop("_met")
+        rows = rows.filter(single).unionAll(_unsettled(met))
     rows = rows.join(sets, F.col("rep") == F.col("_id")).drop("_id")
-    single = (F.col("targets") == 1) & (F.col("probes") == 1)
     own_probe, own_target = F.pmod(F.xxhash64("rep"), F.col("probes")), F.pmod(F.xxhash64("rep"), F.col("targets"))
     keep = ["family", "i", "j", "label", "probe", "target", "_set"]
     once = rows.filter(single).select("family", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "label", "probe", F.lit(True).alias("target"), "_set")
@@ -214,6 +267,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     wanted = stored(classes.select("mark", "least", F.col("rep").alias("_rep")).join(wanted, F.col("_rep") == F.col("rep")).select("mark", "least", "rep"), "wanted")
     near = _sets(pass_filter(part, key_filter(wanted, "least"), F.col("doc_id")), width)
     near = near.join(wanted, (F.col("_id") == F.col("least")) & (F.col("_mark") == F.col("mark"))).select(F.col("rep").alias("_id"), "_set")
+    near = near.withColumn("_size", F.length("_set"))
     sets = stored(near.dropDuplicates(["_id"]), "sets")  # repeated rows have equal sets
     links = stored(_compared(pairs, sets).filter(_linked(F.col("common"), F.col("all"), percent)).select(F.col("centre").alias("a"), F.col("rep").alias("b")), "links")
     same = _same_document(known, classes)

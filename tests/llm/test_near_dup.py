@@ -66,10 +66,34 @@ def test_families_at_the_threshold(spark):
 
 def test_blocks_of_a_large_family(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 16)
+    monkeypatch.setattr(near_dup, "PART", 5000)
     pick = random.Random(9)
     check(spark.createDataFrame(list(enumerate(family(pick, 150, 60, 8))), "doc_id long, text string"))
 
 
+def test_members_that_share_only_boilerplate_meet_nobody(spark, monkeypatch):
+    """The prefix filter keeps both ends of every link between two labels, and drops who has only the common part."""
+    monkeypatch.setattr(near_dup, "PART", 6000)
+    monkeypatch.setattr(near_dup, "SAMPLE", 20000)
+    pick = np.random.default_rng(3)
+    core = pick.choice(2**62, 160, replace=False)
+    alone = [np.concatenate([core, pick.choice(2**62, 40, replace=False)]) for _ in range(80)]
+    near = [np.concatenate([x[: 200 - k], pick.choice(2**62, k, replace=False)]) for x, k in zip(alone[:20], range(0, 60, 3))]
+    sets = [np.unique(x.astype(np.uint64)) for x in [*alone, *near]]
+    frame = spark.createDataFrame([(k, bytearray(s.tobytes()), 8 * len(s)) for k, s in enumerate(sets)], "_id long, _set binary, _size int")
+    members = spark.createDataFrame([(5, k, k) for k in range(len(sets))], "family long, rep long, label long")
+    met = {r["_met"] for r in near_dup._meeting(members, frame, 80).collect()}
+    linked = set()
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            n = len(np.intersect1d(x, y))
+            if 100 * n >= 80 * (len(x) + len(y) - n):
+                linked |= {i, j}
+    assert linked and linked <= met and len(met) < len(linked) + 20
+    same = members.selectExpr("family", "rep", "1L AS label")
+    assert near_dup._meeting(same, frame, 80).isEmpty()
+
+
 def test_a_chain_is_one_component(spark):
     words = [f"w{k}" for k in range(400)]
     chain = [" ".join(words[10 * k : 10 * k + 200]) for k in range(20)]
